@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planforge.llm.bpe import op9_bpe
+from planforge.llm.langid import op2_langid
+from planforge.llm.media import op7_media
 from planforge.llm.sharding import op10_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op9_bpe, op10_sharding]
+    own = [op2_langid, op7_media, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
