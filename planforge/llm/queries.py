@@ -10,10 +10,11 @@ from planforge.llm.bpe import op9_bpe
 from planforge.llm.langid import op2_langid
 from planforge.llm.media import op7_media
 from planforge.llm.sharding import op10_sharding
+from planforge.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_langid, op7_media, op9_bpe, op10_sharding]
+    own = [op2_langid, op7_media, op8_toxicity, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
