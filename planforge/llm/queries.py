@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from planforge.llm.bpe import op9_bpe
+from planforge.llm.decontaminate import op1_decontaminate
 from planforge.llm.langid import op2_langid
 from planforge.llm.media import op7_media
 from planforge.llm.sharding import op10_sharding
 from planforge.llm.toxicity import op8_toxicity
+from planforge.llm.urlfilter import op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_langid, op7_media, op8_toxicity, op9_bpe, op10_sharding]
+    own = [op1_decontaminate, op2_langid, op4_url_filter, op7_media, op8_toxicity, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
