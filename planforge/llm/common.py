@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,3 +58,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         total += int(n)
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those with the smallest hashes of `key`. Only about as many reach the driver."""
+    n = rows.count()
+    h = F.xxhash64(F.col(key))
+    if n > 2 * most:
+        # The share of hashes that holds 1.2 * most rows, as a bound on the signed range.
+        rows = rows.where(h < F.lit(int(-(2**63) + 1.2 * most / n * 2**64)))
+    return rows.orderBy(h, F.col(key)).limit(most)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import slices, table
+from planforge.llm.common import bounded_sample, slices, table
 
 #: Code point ranges of scripts, end exclusive.
 SCRIPTS = {
@@ -160,8 +160,8 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 3000) -> Model:
     """Fit on at most `sample_rows` labelled rows, those with the smallest hash of `key`."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(sample_rows).select(text, lang).collect()
-    return Model([r[0] for r in rows], [r[1] for r in rows])
+    rows = bounded_sample(rows.select(key, text, lang), key, sample_rows).collect()
+    return Model([r[1] for r in rows], [r[2] for r in rows])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import slices, table
+from planforge.llm.common import bounded_sample, slices, table
 
 WORD = regex.compile(r"[\p{L}\p{N}'@$*]+")
 SIZES = (3, 4, 5)
@@ -180,12 +180,9 @@ def train(rows: DataFrame, text: str, label: str, key: str, per_label: int = 300
     """Fit on at most `per_label` rows of each label 0 and 1, those with the smallest hash of `key`."""
     texts, labels = [], []
     for value in (0, 1):
-        part = rows.where(F.col(label) == value).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(per_label).select(key).collect()
-        if part:
-            ids = [r[0] for r in part]
-            found = sorted(rows.where(F.col(key).isin(ids) & (F.col(label) == value)).select(key, text).collect(), key=lambda r: r[0])
-            texts += [r[1] for r in found]
-            labels += [value] * len(found)
+        part = bounded_sample(rows.where(F.col(label) == value).select(key, text), key, per_label).collect()
+        texts += [r[1] for r in part]
+        labels += [value] * len(part)
     return Model(texts, labels)
 
 
