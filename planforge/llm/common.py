@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back, which cuts the lineage."""
     spark = df.sparkSession
+    # Plans that nothing refers to any more give up their shuffle files only when the driver collects garbage.
+    gc.collect()
+    spark._jvm.System.gc()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

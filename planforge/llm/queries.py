@@ -12,12 +12,14 @@ from planforge.llm.langid import op2_langid
 from planforge.llm.media import op7_media
 from planforge.llm.minhash import op5_minhash
 from planforge.llm.sharding import op10_sharding
+from planforge.llm.substrings import op3_substrings
+from planforge.llm.suffixes import op6_suffixes
 from planforge.llm.toxicity import op8_toxicity
 from planforge.llm.urlfilter import op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_decontaminate, op2_langid, op4_url_filter, op5_minhash, op7_media, op8_toxicity, op9_bpe, op10_sharding]
+    own = [op1_decontaminate, op2_langid, op3_substrings, op4_url_filter, op5_minhash, op6_suffixes, op7_media, op8_toxicity, op9_bpe, op10_sharding]
     return {f.__name__: f for f in own}
 
 
