@@ -201,10 +201,9 @@ def _searched(rows: DataFrame, spec: Spec, method: Method, most: int) -> DataFra
         segs: list[bytes] = []
         ids: list[int] = []
         starts: list[int] = []
-        total, last_h, last = 0, None, None
+        total, n, last_h, last = 0, 0, None, None
         for batch in batches:
             sure: tuple[list[int], list[int], list[int]] = ([], [], [])
-            n = 0
             for h, i, s, seg in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "start", "seg")), strict=True):
                 if h == last_h and seg == last:
                     if i > ids[-1]:  # an equal segment of a smaller id
