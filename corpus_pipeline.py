@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from planforge.llm.bpe import encode_documents
 from planforge.llm.common import saved, table
+from planforge.llm.decontaminate import drop_leaked
+from planforge.llm.langid import keep_labelled
+from planforge.llm.minhash import keep_first
+from planforge.llm.substrings import drop_passages
 
-STAGES = []
+#: (name, function) in order. A function takes (spark, docs, sf_dir); all but the last return the columns of documents.
+STAGES = [
+    ("language", keep_labelled),
+    ("near_duplicates", keep_first),
+    ("passages", drop_passages),
+    ("benchmark", drop_leaked),
+    ("tokens", encode_documents),
+]
 
 #: No stage can be put in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document that the stages keep: doc_id, lang, source, n_tokens and ids."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)

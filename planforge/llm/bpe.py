@@ -182,3 +182,14 @@ def op9_bpe(spark, sf_dir: str) -> DataFrame:
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def encode_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the ids of every text, checked by decoding them again.
+
+    `round_trip` says whether the ids decode to the text.
+    """
+    out = roundtrip(docs, default_path())
+    ids = F.col("ids_le")
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", "text", "lang", "source", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), ids, same.alias("round_trip"))
