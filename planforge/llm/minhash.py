@@ -6,11 +6,11 @@
 3. Candidates of a bucket are compared batch by batch of their signatures. A pair is dropped as soon as the
    posterior probability of a similarity at the threshold or above falls under the chosen miss probability;
    the survivors are verified on their full sets.
-4. A bucket isn't expanded into all its pairs. First, each member meets the smallest; the links found join
-   members to components. Then, members of different components that still share a bucket meet,
-   at first each with its most similar ones, in the end with all that survive. Members of a component need no
-   further link, so groups of copies cost about one verification a copy, and no link between
-   components is lost. Buckets are split into blocks of bounded size for that.
+4. A bucket isn't expanded into its pairs. First, each member meets the smallest; the links found join
+   members to components. Then those that aren't in the component of the smallest meet all others
+   of another component, in blocks of bounded size that hold the full sets: what the signatures leave is verified
+   there, and only links come out. Members of one component need no further link, so groups of
+   copies cost about one verification a copy, and no link between components is lost.
 5. Components come from label propagation with pointer jumping over the links.
 """
 
@@ -147,9 +147,9 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
 
 
-def likely(pairs: DataFrame, classes: DataFrame, similarity: float, miss: float) -> DataFrame:
+def likely(pairs: DataFrame, sets: DataFrame, similarity: float, miss: float) -> DataFrame:
     """The pairs (a, b) that their signatures leave over."""
-    sig_a, sig_b = (classes.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    sig_a, sig_b = (sets.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,16 +161,27 @@ def likely(pairs: DataFrame, classes: DataFrame, similarity: float, miss: float)
 
 
 def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, set): the full sets of the given ids."""
+    """(id, set, sig): the full sets of the given ids, none of which is empty, and their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), width)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                sigs = [row.tobytes() for row in signatures(sets)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["id", "set", "sig"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    return rows.mapInArrow(run, "id long, set binary, sig binary").dropDuplicates(["id"])
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -179,82 +190,80 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("set_a", "set_b"))
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * same >= percent * (len(both) - same))
+            x, y = batch.column("set_a"), batch.column("set_b")
+            keep = [alike(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def crossing(members: DataFrame, similarity: float, miss: float, most: int | None) -> DataFrame:
-    """Likely pairs of different labels that share a bucket, from members (bucket, id, label, sig, n).
+def crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, percent: int, miss: float) -> DataFrame:
+    """Verified links (a, b) between members of different labels that share a bucket.
 
-    n is the bucket's size. With `most`, each id meets no more than that many of the most similar
-    others in a block. A pair comes from the first bucket it shares.
+    members (bucket, id, hub) meet in groups by the bucket's smallest id, its hub; `mask` has the bands in which
+    they do, and a pair is compared in the group of the first band it shares. Ids with the hub's label need no link among each
+    other. Every other id of a group is a query; members and queries are dealt into blocks, and each pair of
+    blocks is one unit of work with the full sets at hand, so pairs are never rows. A query
+    that has found a link to a label is not compared with that label again.
     """
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "sig")
-
-    def pairs(bucket: int, own: np.ndarray, ids: np.ndarray, labels: np.ndarray, sigs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    grouped = members.groupBy("hub", "id").agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftright(bucket, {8 * ROWS}) as int)))").alias("mask"))
+    named = grouped.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = saved(named, "named")
+    of_hub = named.where("id = hub").select("hub", F.col("label").alias("main"))
+    sizes = named.join(of_hub, "hub").groupBy("hub").agg(F.first("main").alias("main"), F.count("*").alias("n"), F.count_if(F.col("label") != F.col("main")).alias("rare")).where("rare > 0")
+    n_blocks, n_queries = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n", "rare"))
+    rows = named.join(sizes, "hub").withColumn("h", F.xxhash64("id")).join(sets, "id")
+    kept = ["hub", "id", "mask", "label", "sig", "set"]
+    member = rows.select(*kept, F.pmod("h", n_blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), n_queries - 1)).alias("part"), F.lit(False).alias("query"), (F.col("label") == F.col("main")).alias("settled"))
+    query = rows.where("label <> main").select(*kept, F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), F.pmod("h", n_queries).cast("int").alias("part"), F.lit(True).alias("query"), F.lit(False).alias("settled"))
+
+    def met(rows: pa.RecordBatch) -> list[tuple[int, int]]:
+        ids, masks, labels = (rows.column(c).to_numpy() for c in ("id", "mask", "label"))
+        query, settled = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("query", "settled"))
+        sigs, sets = matrix(rows.column("sig")), rows.column("set")
+        at = np.flatnonzero(~query)
+        bands = np.ascontiguousarray(sigs[at]).reshape(len(at), BANDS, ROWS)
         found = []
-        kinds, sizes = np.unique(labels, return_counts=True)
-        if len(kinds) < 2:
-            return found
-        main = kinds[sizes.argmax()]
-        band = bucket >> (8 * ROWS)
-        rare = np.flatnonzero(labels != main)  # one of a pair of different labels is always here
-        for x in rare.tolist():
-            ok = labels != labels[x]
-            ok &= (labels == main) | (ids > ids[x])
-            if own.min() != own.max():
-                ok &= own != own[x]  # pairs within a block come from its own group
-            at = np.flatnonzero(ok)
-            if not len(at):
+        for x in np.flatnonzero(query).tolist():
+            ok = (labels[at] != labels[x]) & (settled[at] | (ids[at] > ids[x])) & ((masks[at] & masks[x]) != 0)
+            y = np.flatnonzero(ok)
+            if not len(y):
                 continue
-            a = np.broadcast_to(sigs[x], (len(at), HASHES))
-            left, matches = survivors(a, sigs[at], similarity, miss)
-            if band and len(left):
-                equal = (sigs[at[left], : band * ROWS] == sigs[x, : band * ROWS]).reshape(len(left), band, ROWS).all(2).any(1)
-                left = left[~equal]
-            if most and len(left) > most:
-                left = left[np.argpartition(-matches[left], most)[:most]]
-            if len(left):
-                y = ids[at[left]]
-                found.append((np.minimum(y, ids[x]), np.maximum(y, ids[x])))
+            first = (bands[y] == sigs[x].reshape(BANDS, ROWS)).all(2).argmax(1)
+            y = at[y[((masks[at[y]] & masks[x]) >> first) & 1 == 1]]
+            left, matches = survivors(np.broadcast_to(sigs[x], (len(y), HASHES)), sigs[y], similarity, miss)
+            own = np.frombuffer(sets[x].as_buffer(), np.uint64)
+            done = set()
+            for z in y[left[np.argsort(-matches[left], kind="stable")]].tolist():
+                if labels[z] not in done and alike(own, np.frombuffer(sets[z].as_buffer(), np.uint64), percent):
+                    done.add(labels[z])
+                    found.append((min(int(ids[x]), int(ids[z])), max(int(ids[x]), int(ids[z]))))
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[pa.RecordBatch] = []
         for batch in _ended(batches):
-            got = [rest, batch] if rest is not None and batch is not None else [rest if batch is None else batch]
-            rows = pa.Table.from_batches([b for b in got if b is not None]).combine_chunks().to_batches() if any(b is not None and b.num_rows for b in got) else []
-            if not rows:
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                rest.append(batch)
+            if not rest:
                 continue
-            rows = rows[0]
-            k = [rows.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            rows = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            k = [rows.column(c).to_numpy() for c in ("hub", "block", "part")]
             new = np.flatnonzero((k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])) + 1
             edges = [0, *new.tolist(), rows.num_rows]
-            if batch is not None:
-                rest = rows.slice(edges[-2])
+            if batch is None:
+                rest = []
+            else:  # the last group may go on
+                rest = [rows.slice(edges[-2])]
                 edges.pop()
-            own, ids, labels = (rows.column(c).to_numpy() for c in ("own", "id", "label"))
-            sigs = matrix(rows.column("sig"))
-            found = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if b - a > 1:
-                    found += pairs(int(k[0][a]), own[a:b], ids[a:b], labels[a:b], sigs[a:b])
+            found = [pair for a, b in zip(edges[:-1], edges[1:], strict=True) for pair in met(rows.slice(a, b - a))]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in (0, 1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    grouped = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    dealt = member.unionByName(query).repartition("hub", "block", "part").sortWithinPartitions("hub", "block", "part")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -298,15 +307,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = saved(spread.join(sizes, "bucket"), "members")
     sets = saved(set_table(docs, members.select("id").distinct(), key, text, width), "sets")
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = saved(verified(likely(stars, classes, similarity, miss), sets, percent), "links")
-    for most in (3, None):
-        labels = components(links)
-        named = members.select("bucket", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed_ones = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        named = named.join(mixed_ones, "bucket", "left_semi").join(classes.select("id", "sig"), "id")
-        more = saved(verified(crossing(named, similarity, miss, most), sets, percent), "links")
-        dropped(labels)
-        links = links.union(more)
+    links = saved(verified(likely(stars, sets, similarity, miss), sets, percent), "links")
+    labels = components(links)
+    links = links.union(saved(crossing(members, labels, sets, similarity, percent, miss), "links"))
+    dropped(labels)
     labels = components(links)
     owner = saved(classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id")), "owner")
     for used in (classes, members, sets, labels):
