@@ -69,43 +69,47 @@ class Model:
             self._fit(self._bags(texts), y, dim, epochs, rate, batch, min_texts, np.random.default_rng(seed))
         self.key = hashlib.sha256(self.line.tobytes() + str(self.offset).encode()).hexdigest()
 
-    def _bags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Buckets of the texts, their shares, which sum to 1 in each text, and where each text begins."""
+    def _bags(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The buckets of each text and their shares, which sum to 1."""
         known: dict[str, int] = {}
         parts: list[np.ndarray] = []
-        sizes: list[int] = []
-        ids, shares, counts = [], [], [0]
+        ids, shares = [], []
         for text in texts:
             words = WORD.findall((text or "").lower())
             new = [w for w in dict.fromkeys(words) if w not in known]
             if new:
                 got, first = subwords(new, self.buckets)
-                for w, part in zip(new, np.split(got, first[1:]), strict=True):
+                for w, part in zip(new, np.split(got.astype(np.int32), first[1:]), strict=True):
                     known[w] = len(parts)
                     parts.append(part)
-                    sizes.append(len(part))
-            if words:
-                own = [known[w] for w in words]
-                share = np.repeat(1 / np.array([sizes[i] for i in own]), [sizes[i] for i in own]) / len(own)
-                bucket, back = np.unique(np.concatenate([parts[i] for i in own]), return_inverse=True)
-                ids.append(bucket)
-                shares.append(np.bincount(back, share).astype(np.float32))
-            counts.append(counts[-1] + (len(ids[-1]) if words else 0))
-        empty = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
-        return np.concatenate(ids or empty[0]), np.concatenate(shares or empty[1]), np.array(counts)
-
-    def _fit(self, bags: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, dim: int, epochs: int, rate: float, batch: int, min_texts: int, rng: np.random.Generator) -> None:
+            own = [known[w] for w in words]
+            sizes = np.array([len(parts[i]) for i in own], np.int64)
+            share = np.repeat(1 / sizes, sizes) / max(1, len(own))
+            bucket, back = np.unique(np.concatenate([parts[i] for i in own] or [np.zeros(0, np.int32)]), return_inverse=True)
+            ids.append(bucket)
+            shares.append(np.bincount(back, share, minlength=len(bucket)).astype(np.float32))
+            if len(known) > 100_000:  # bounds the memory, not the words that count
+                known.clear()
+                parts.clear()
+        return ids, shares
+
+    def _fit(self, bags: tuple[list[np.ndarray], list[np.ndarray]], y: np.ndarray, dim: int, epochs: int, rate: float, batch: int, min_texts: int, rng: np.random.Generator) -> None:
         """Softmax weights and embeddings together: plain steps for the embeddings, AdaGrad for the rest; both classes weigh the same."""
-        ids, share, begin = bags
-        held = np.bincount(ids, minlength=self.buckets)
+        held = np.zeros(self.buckets, np.int32)
+        for part in bags[0]:
+            held[part] += 1  # distinct in a text
         used = np.flatnonzero(held >= min_texts)
-        place = np.full(self.buckets, -1)
+        place = np.full(self.buckets, -1, np.int32)
         place[used] = np.arange(len(used))
+        for k, part in enumerate(bags[0]):
+            keep = held[part] >= min_texts
+            bags[0][k], bags[1][k] = place[part[keep]], bags[1][k][keep]
+        begin = np.cumsum([0, *map(len, bags[0])])
+        ids, share = np.concatenate(bags[0]), np.concatenate(bags[1])
+        bags[0].clear()
+        bags[1].clear()
         scale = (1 / np.sqrt(held[used] / len(y) + 0.002)).astype(np.float32)
-        keep = place[ids] >= 0
-        begin = np.concatenate([[0], np.cumsum(keep)])[begin]
-        ids = place[ids[keep]]
-        share = share[keep] * scale[ids]
+        share *= scale[ids]
         n = len(used)
         vectors = rng.uniform(-0.1, 0.1, (n, dim)).astype(np.float32)
         weights, bias = rng.uniform(-0.5, 0.5, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -176,7 +180,7 @@ class Scorer:
     word_values = Model.word_values
 
 
-def train(rows: DataFrame, text: str, label: str, key: str, per_label: int = 3000) -> Model:
+def train(rows: DataFrame, text: str, label: str, key: str, per_label: int = 1200) -> Model:
     """Fit on at most `per_label` rows of each label 0 and 1, those with the smallest hash of `key`."""
     texts, labels = [], []
     for value in (0, 1):
