@@ -5,13 +5,13 @@ picks an anchor: of the `gram` units in a row that it holds, those with the smal
 equals. The choice depends on the window's units alone, so equal windows have equal anchors
 at equal places. Neighbouring windows mostly share theirs: a run of windows with one anchor is a segment.
 
-1. Anchors that only one document has can't belong to a repeat. The others are found by one shuffle of
-   (anchor, id), distinct in each document.
-2. Segments of anchors that several documents have are cut out of the whole texts.
+1. One shuffle of (anchor, hash of the segment, id), distinct in each document, sorts out what needs no
+   search: anchors that only one document has, and segments that a smaller id has whole, which go. What is
+   left are the first of several different segments of an anchor.
+2. These segments are cut out of the whole texts.
 3. A method (an index or a sort) gets all segments of an anchor together and says which of their
-   windows start in a document with a smaller id. Equal segments of larger ids than the first need no search.
-   An anchor with more than `hot` rows is replaced by its windows, each a segment of its own, so
-   no group of different segments grows without bound.
+   windows start in a document with a smaller id. An anchor with more than `hot` rows is replaced by its
+   windows, each a segment of its own, so no group of different segments grows without bound.
 4. The intervals found are joined to the whole texts again.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from planforge.llm.common import dropped, saved, slices
 from planforge.llm.textarrays import mixed, windows, words_of
 
-HOT = 200_000
+HOT = 1_000_000
 #: Bits of a packed hash that hold the place; a slice of text has fewer units.
 PLACE = np.uint64(28)
 
@@ -101,28 +101,46 @@ def segments(units: Units, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return text[begin], at[begin], at[last], anchor[begin]
 
 
+def whole_hashes(units: Units, spec: Spec, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the segments of the windows a to b: of grams side by side, the last at the end."""
+    last = b + spec.window - spec.gram
+    out = (b - a).astype(np.uint64)
+    for k in range(0, int((last - a).max()) + spec.gram if len(a) else 0, spec.gram):
+        more = a + k < last + spec.gram
+        out = np.where(more, mixed(out) + units.grams[np.minimum(a + k, last)], out)
+    return mixed(out).view(np.int64)
+
+
+def pair_keys(h: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    return mixed(h.view(np.uint64) * np.uint64(3) + mixed(seg.view(np.uint64)))
+
+
+SURE, TEXT, SPLIT = 1, 2, 3
+
+
 def _anchors(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(h, id), once for each anchor of a document."""
+    """(h, seg, id), once for each segment of a document: hashes of its anchor and of the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 units = units_of(part.column("text").to_pylist(), spec)
-                text, _, _, anchor = segments(units, spec)
-                keys = units.grams[anchor]
-                order = np.lexsort((keys, text))
-                text, keys = text[order], keys[order]
+                text, a, b, anchor = segments(units, spec)
+                keys, seg = units.grams[anchor].view(np.int64), whole_hashes(units, spec, a, b)
+                order = np.lexsort((pair_keys(keys, seg), text))
+                text, keys, seg = text[order], keys[order], seg[order]
                 new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), part.column("id").take(pa.array(text[new]))], names=["h", "id"])
+                new[1:] = (keys[1:] != keys[:-1]) | (seg[1:] != seg[:-1]) | (text[1:] != text[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(seg[new]), part.column("id").take(pa.array(text[new]))], names=["h", "seg", "id"])
 
-    return docs.mapInArrow(run, "h long, id long")
+    return docs.mapInArrow(run, "h long, seg long, id long")
 
 
 def _cut(docs: DataFrame, spec: Spec) -> DataFrame:
-    """Segments (h, lead, id, start, seg) of the anchors in `hs`; of those in `hots`, a segment for each window.
+    """(h, lead, id, start, end, seg) from documents with lists of `parts` (h, seg, kind).
 
-    `start` is the first unit's number in the text, `lead` the anchor's own bytes (a hot window's: all).
+    Sure segments come as joined intervals of units without `seg`; the others with their text, those to be split as their windows.
+    `lead` has the anchor's own bytes (of a split window: all).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,15 +149,34 @@ def _cut(docs: DataFrame, spec: Spec) -> DataFrame:
                 units = units_of(part.column("text").to_pylist(), spec)
                 text, a, b, anchor = segments(units, spec)
                 keys = units.grams[anchor].view(np.int64)
-                wanted, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+                pairs = pair_keys(keys, whole_hashes(units, spec, a, b))
+                lists = part.column("parts")
+                ends, flat = lists.offsets.to_numpy(), lists.values
+                known = pair_keys(flat.field("h").to_numpy(), flat.field("seg").to_numpy())
+                kinds = flat.field("kind").to_numpy()
+                kind = np.zeros(len(keys), np.int8)
                 edge = np.searchsorted(text, np.arange(part.num_rows + 1))
-                for column, flag in (("hs", wanted), ("hots", hot)):
-                    lists = part.column(column)
-                    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-                    for i in range(part.num_rows):
-                        if ends[i + 1] > ends[i]:
-                            flag[edge[i] : edge[i + 1]] = np.isin(keys[edge[i] : edge[i + 1]], flat[ends[i] : ends[i + 1]])
-                text, a, b, anchor, keys, hot = (x[wanted] for x in (text, a, b, anchor, keys, hot))
+                for i in range(part.num_rows):
+                    own = known[ends[i] : ends[i + 1]]
+                    order = np.argsort(own)
+                    mine = pairs[edge[i] : edge[i + 1]]
+                    at = order[np.minimum(np.searchsorted(own, mine, sorter=order), len(own) - 1)]
+                    kind[edge[i] : edge[i + 1]] = np.where(own[at] == mine, kinds[ends[i] : ends[i + 1]][at], 0)
+                sure = kind == SURE
+                if sure.any():
+                    t, x, y = text[sure], a[sure], b[sure] + spec.window
+                    new = np.ones(len(t), bool)  # units of texts don't touch, but their intervals may
+                    new[1:] = (t[1:] != t[:-1]) | (x[1:] > np.maximum.accumulate(y)[:-1])
+                    begin = np.flatnonzero(new)
+                    zero = units.first[:-1][t[begin]]
+                    n = len(begin)
+                    stop = np.maximum.reduceat(y, begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), part.column("id").take(pa.array(t[begin])), pa.array(x[begin] - zero), pa.array(stop - zero), pa.nulls(n, pa.binary())], names=["h", "lead", "id", "start", "end", "seg"]
+                    )
+                wanted = kind >= TEXT
+                text, a, b, anchor, keys = (x[wanted] for x in (text, a, b, anchor, keys))
+                hot = kind[wanted] == SPLIT
                 lead_a, lead_b = units.start[anchor], units.end[anchor + spec.gram - 1] if len(anchor) else anchor
                 if hot.any():
                     n = np.where(hot, b - a + 1, 1)
@@ -157,12 +194,12 @@ def _cut(docs: DataFrame, spec: Spec) -> DataFrame:
                 else:
                     segs = [raw[i:j] for i, j in zip(x, y, strict=True)]
                 leads = [raw[i:j] for i, j in zip(lead_a.tolist(), lead_b.tolist(), strict=True)] if spec.unit == "bytes" else [None] * len(segs)
-                start = a - units.first[:-1][text]
+                zero = units.first[:-1][text]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(leads, pa.binary()), part.column("id").take(pa.array(text)), pa.array(start.astype(np.int64)), pa.array(segs, pa.binary())], names=["h", "lead", "id", "start", "seg"]
+                    [pa.array(keys), pa.array(leads, pa.binary()), part.column("id").take(pa.array(text)), pa.array(a - zero), pa.array(b - zero + spec.window), pa.array(segs, pa.binary())], names=["h", "lead", "id", "start", "end", "seg"]
                 )
 
-    return docs.mapInArrow(run, "h long, lead binary, id long, start long, seg binary")
+    return docs.mapInArrow(run, "h long, lead binary, id long, start long, end long, seg binary")
 
 
 def windows_at(units: Units, spec: Spec, at: np.ndarray) -> np.ndarray:
@@ -234,13 +271,16 @@ def repeated(docs: DataFrame, key: str, text: str, spec: Spec, method: Method, d
     Rows with a null id are left out.
     """
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    by = Window.partitionBy("h")
-    shared = _anchors(rows, spec).select("h", "id", F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"), F.count("*").over(by).alias("n"))
-    shared = saved(shared.where("lo < hi").select("id", "h", (F.col("n") > hot).alias("hot")), "anchors")
-    lists = shared.groupBy("id").agg(F.collect_list("h").alias("hs"), F.collect_list(F.when(F.col("hot"), F.col("h"))).alias("hots"))
-    cut = saved(_cut(rows.join(lists, "id").select("id", "text", "hs", "hots"), spec), "segments")
+    by, same = Window.partitionBy("h"), Window.partitionBy("h", "seg")
+    shared = _anchors(rows, spec).select("h", "seg", "id", F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"), F.count("*").over(by).alias("n"), F.min("seg").over(by).alias("s0"), F.max("seg").over(by).alias("s1"))
+    shared = shared.where("lo < hi").withColumn("first", F.min("id").over(same))
+    kind = F.when(F.col("n") > hot, SPLIT).when(F.col("id") > F.col("first"), SURE).when(F.col("s0") < F.col("s1"), TEXT)
+    shared = saved(shared.select("id", "h", "seg", kind.cast("byte").alias("kind")).where("kind is not null"), "anchors")
+    lists = shared.groupBy("id").agg(F.collect_list(F.struct("h", "seg", "kind")).alias("parts"))
+    cut = saved(_cut(rows.join(lists, "id").select("id", "text", "parts"), spec), "segments")
     dropped(shared)
-    spans = _searched(deal(cut), spec, method, most).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = _searched(deal(cut.where("seg is not null").select("h", "lead", "id", "start", "seg")), spec, method, most)
+    spans = found.unionByName(cut.where("seg is null").select("id", "start", "end")).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = saved(spans, "spans")
     dropped(cut)
     return spans
