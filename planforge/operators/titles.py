@@ -33,10 +33,10 @@ def ocr_geometry(tokens: DataFrame, c: Config = DEFAULT) -> DataFrame:
 def search_windows(blocks: DataFrame, page_dims: DataFrame) -> DataFrame:
     """Where a block's title is looked for: 150 pt below it, or down to the next block that overlaps it by a tenth of its width."""
     b = blocks.join(page_dims, "page_id")
-    o = blocks.select("page_id", F.col("block_id").alias("o_id"), *Rect.of().named("o"))
+    o = blocks.select(F.col("page_id").alias("o_page"), F.col("block_id").alias("o_id"), *Rect.of().named("o"))
     wide = F.greatest(F.lit(0.0), F.least("x1", "ox1") - F.greatest("x0", "ox0"))
     below = (F.col("o_id") != F.col("block_id")) & (F.col("oy0") > F.col("y1")) & (wide > (F.col("x1") - F.col("x0")) * 0.1)
-    near = b.join(o, (b.page_id == o.page_id) & below, "left").drop(o.page_id).groupBy("page_id", "block_id", "x0", "y0", "x1", "y1", "page_h").agg(F.min("oy0").alias("next"))
+    near = b.join(o, (F.col("page_id") == F.col("o_page")) & below, "left").groupBy("page_id", "block_id", "x0", "y0", "x1", "y1", "page_h").agg(F.min("oy0").alias("next"))
     limit = F.least(F.col("y1") + 150, F.col("page_h"), F.coalesce(F.col("next") + 5, F.lit(float("inf"))))
     out = near.select("page_id", "block_id", (F.col("x0") - 60).alias("wx0"), (F.col("y0") - 20).alias("wy0"), (F.col("x1") + 60).alias("wx1"), F.greatest(F.col("y1") + 10, limit).alias("wy1"))
     return out.where((F.col("wx1") - F.col("wx0") > 10) & (F.col("wy1") - F.col("wy0") > 10))
