@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import bounded_sample, slices, table
+from planforge.llm.common import bounded_sample, in_batches, slices, table
 
 WORD = regex.compile(r"[\p{L}\p{N}'@$*]+")
 SIZES = (3, 4, 5)
@@ -60,12 +60,13 @@ class Model:
     it is among the texts, or else the frequent buckets would take up all the steps.
     """
 
-    def __init__(self, texts: list[str], labels: list[int], buckets: int = 1 << 20, dim: int = 4, epochs: int = 12, rate: float = 5.0, batch: int = 64, min_texts: int = 5, seed: int = 1):
+    def __init__(self, texts: list[str], labels: list[int], buckets: int = 1 << 20, dim: int = 4, epochs: int = 12, rate: float = 5.0, batch: int = 64, min_texts: int = 5, least_steps: int = 450, seed: int = 1):
         self.buckets = buckets
         self.line = np.zeros(buckets, np.float32)
         self.offset = 0.0
         y = np.asarray(labels, np.int64)
         if len(y):
+            epochs = max(epochs, -(-least_steps * batch // len(y)))
             self._fit(self._bags(texts), y, dim, epochs, rate, batch, min_texts, np.random.default_rng(seed))
         self.key = hashlib.sha256(self.line.tobytes() + str(self.offset).encode()).hexdigest()
 
@@ -205,7 +206,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.scores(part.column(text).to_pylist()))], names=[*part.schema.names, "score"])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+    return in_batches(rest, run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
