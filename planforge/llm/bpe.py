@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import slices, table
+from planforge.llm.common import in_batches, slices, table
 
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies, with \s as White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -138,7 +138,7 @@ def _mapped(df: DataFrame, column: str, fields: list[T.StructField], values: Cal
                 made = values(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=[*part.schema.names, *names])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *fields]))
+    return in_batches(rest, run, T.StructType([*rest.schema.fields, *fields]))
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import bounded_sample, slices, table
+from planforge.llm.common import bounded_sample, in_batches, slices, table
 
 #: Code point ranges of scripts, end exclusive.
 SCRIPTS = {
@@ -209,7 +209,7 @@ def label(df: DataFrame, model: Model, text: str = "text", penalty: float = 12.0
                     columns.append(pa.array(made, kind))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *fields[: len(names)]]))
+    return in_batches(rest, run, T.StructType([*rest.schema.fields, *fields[: len(names)]]))
 
 
 def _learned(docs: DataFrame) -> Model:

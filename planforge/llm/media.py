@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import slices, table
+from planforge.llm.common import in_batches, slices, table
 
 RATE, UP, DOWN, TAPS = 16_000, 5, 8, 16
 OUT_RATE = RATE * UP // DOWN
@@ -161,7 +161,7 @@ def audio(df: DataFrame, payload: str = "text") -> DataFrame:
                 made = list(zip(*(one(v) for v in part.column(payload).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=[*part.schema.names, *names])
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, *FIELDS]))
+    return in_batches(rest, run, T.StructType([*rest.schema.fields, *FIELDS]))
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:

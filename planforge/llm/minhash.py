@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planforge.llm.common import dropped, saved, slices, table
+from planforge.llm.common import dropped, in_batches, saved, slices, table
 from planforge.llm.textarrays import ASCII_LOWER, mixed, windows, words_of
 
 BANDS, ROWS = 36, 5
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())], names=["id", "n", "set_key", "sig"]
                 )
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, n long, set_key binary, sig binary")
+    return in_batches(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, n long, set_key binary, sig binary")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def buckets(classes: DataFrame) -> DataFrame:
                 keys = bands_of(matrix(batch.column("sig")))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("id").to_numpy(), BANDS))], names=["bucket", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "bucket long, id long")
+    return in_batches(classes.select("id", "sig"), run, "bucket long, id long")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -157,7 +157,7 @@ def likely(pairs: DataFrame, sets: DataFrame, similarity: float, miss: float) ->
                 left, _ = survivors(matrix(batch.column("sig_a")), matrix(batch.column("sig_b")), similarity, miss)
                 yield batch.select(["a", "b"]).take(pa.array(left))
 
-    return pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
 
 
 def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -171,7 +171,7 @@ def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["id", "set", "sig"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, "id long, set binary, sig binary").dropDuplicates(["id"])
+    return in_batches(rows, run, "id long, set binary, sig binary").dropDuplicates(["id"])
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -194,7 +194,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [alike(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64), percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.join(set_a, "a").join(set_b, "b").select("a", "b", "set_a", "set_b"), run, "a long, b long")
 
 
 def crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity: float, percent: int, miss: float) -> DataFrame:
@@ -263,7 +263,7 @@ def crossing(members: DataFrame, labels: DataFrame, sets: DataFrame, similarity:
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     dealt = member.unionByName(query).repartition("hub", "block", "part").sortWithinPartitions("hub", "block", "part")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return in_batches(dealt, run, "a long, b long").distinct()
 
 
 def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:

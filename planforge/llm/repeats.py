@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planforge.llm.common import dropped, saved, slices
+from planforge.llm.common import dropped, in_batches, saved, slices
 from planforge.llm.textarrays import mixed, windows, words_of
 
 HOT = 1_000_000
@@ -133,7 +133,7 @@ def _anchors(docs: DataFrame, spec: Spec) -> DataFrame:
                 new[1:] = (keys[1:] != keys[:-1]) | (seg[1:] != seg[:-1]) | (text[1:] != text[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(seg[new]), part.column("id").take(pa.array(text[new]))], names=["h", "seg", "id"])
 
-    return docs.mapInArrow(run, "h long, seg long, id long")
+    return in_batches(docs, run, "h long, seg long, id long")
 
 
 def _cut(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -199,7 +199,7 @@ def _cut(docs: DataFrame, spec: Spec) -> DataFrame:
                     [pa.array(keys), pa.array(leads, pa.binary()), part.column("id").take(pa.array(text)), pa.array(a - zero), pa.array(b - zero + spec.window), pa.array(segs, pa.binary())], names=["h", "lead", "id", "start", "end", "seg"]
                 )
 
-    return docs.mapInArrow(run, "h long, lead binary, id long, start long, end long, seg binary")
+    return in_batches(docs, run, "h long, lead binary, id long, start long, end long, seg binary")
 
 
 def windows_at(units: Units, spec: Spec, at: np.ndarray) -> np.ndarray:
@@ -261,7 +261,7 @@ def _searched(rows: DataFrame, spec: Spec, method: Method, most: int) -> DataFra
         if segs:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found(segs, ids, starts)], names=names)
 
-    return rows.select("h", "id", "start", "seg").mapInArrow(run, "id long, start long, end long")
+    return in_batches(rows.select("h", "id", "start", "seg"), run, "id long, start long, end long")
 
 
 def repeated(docs: DataFrame, key: str, text: str, spec: Spec, method: Method, deal: Callable[[DataFrame], DataFrame], most: int = 4 << 20, hot: int = HOT) -> DataFrame:

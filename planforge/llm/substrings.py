@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planforge.llm.common import slices, table
+from planforge.llm.common import in_batches, slices, table
 from planforge.llm.fmindex import FMIndex
 from planforge.llm.repeats import Method, Spec, merged, repeated
 from planforge.llm.textarrays import words_of
@@ -92,7 +92,7 @@ def removed(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text
                 yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*own.schema.names, *names])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), "kept string, n_words long, n_removed long, removed array<struct<start: long, end: long>>"])
-    return joined.mapInArrow(run, fields)
+    return in_batches(joined, run, fields)
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
