@@ -36,7 +36,7 @@ class Codec:
     `memory` bounds the number of pieces whose ids are remembered; it changes speed alone.
     """
 
-    def __init__(self, path: str, memory: int = 300_000):
+    def __init__(self, path: str, memory: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]

@@ -88,7 +88,7 @@ class Model:
 class Scores:
     """Scores of the words met so far; `memory` bounds their number and changes speed alone."""
 
-    def __init__(self, model: Model, memory: int = 250_000):
+    def __init__(self, model: Model, memory: int = 100_000):
         self.model, self.memory = model, memory
         self.ids: dict[str, int] = {}
         self.rows = np.empty((1024, len(model.langs)), np.float32)

@@ -148,7 +148,7 @@ class Model:
 class Values:
     """Values of the words met so far; `memory` bounds their number and changes speed alone."""
 
-    def __init__(self, model: Model, memory: int = 400_000):
+    def __init__(self, model: Model, memory: int = 200_000):
         self.model, self.memory, self.known = model, memory, {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
