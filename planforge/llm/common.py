@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -31,12 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, which cuts the lineage."""
+def saved(df: DataFrame, name: str, release: bool = True) -> DataFrame:
+    """Write a table into the shared folder and read it back, which cuts the lineage.
+
+    Before that, with `release`, the shuffle files of earlier tables go: Spark deletes them only when the driver
+    collects the garbage of their plans. The first round lets go of Python's handles, the second of the plans.
+    """
     spark = df.sparkSession
-    # Plans that nothing refers to any more give up their shuffle files only when the driver collects garbage.
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2 * release):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

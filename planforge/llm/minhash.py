@@ -278,12 +278,12 @@ def components(links: DataFrame) -> DataFrame:
     so long chains halve. Rounds end when no label changes.
     """
     edges = saved(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    labels = saved(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels", release=False)
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("far"))
-        after = saved(low.join(jump, "low", "left").select("id", "was", F.least("low", F.coalesce("far", "low")).alias("label")), "labels")
+        after = saved(low.join(jump, "low", "left").select("id", "was", F.least("low", F.coalesce("far", "low")).alias("label")), "labels", release=False)
         dropped(labels)
         labels = after.select("id", "label")
         if not after.where("was <> label").head(1):
