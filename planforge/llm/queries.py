@@ -23,5 +23,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: The 13-word windows as joined texts, as words hold no space.
+OP3_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+k as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as s from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+f as (select s, min(doc_id) as d from k group by s),
+r as (select distinct k.doc_id, k.i + o.o as i from k join f using (s) cross join (select unnest(range(0, 13)) as o) o where f.d < k.doc_id),
+x as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+g as (select x.doc_id, string_agg(x.word, ' ' order by x.i) as kept, count(*) as n from x anti join r on r.doc_id = x.doc_id and r.i = x.i group by x.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join g using (doc_id)
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substrings": OP3_SQL}
