@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from planforge.llm.common import table
 
-#: 1 compares a position, 0 ignores it. The first finds matches whose 4th and 5th token differ, and so on.
-MASKS = ("11100111", "110110011")
-SPAN = max(map(len, MASKS))
+#: 1 compares a position, 0 ignores it. Wherever 1 token of 8 or 2 of 13 differ, one of them fits beside those; a test goes through all places.
+MASKS = ("1011111", "11100111", "1111101")
+#: The fewest tokens of an item in which a token may differ.
+SHORT = 8
 #: The most bytes of test items that are sent to every executor; more are joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 
@@ -43,15 +44,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
 
     An overlap is a window of `window` tokens (the whole item, if shorter) in which at most `mismatches`
     tokens differ (in a shorter item, in proportion); windows at one alignment are joined to the longest
-    stretch from the first to the last token of them. `same` counts the equal tokens. Items shorter than the
-    shortest mask must occur whole and unchanged. Null and empty texts have no overlap. Rows with equal
+    stretch from the first to the last token of them. `same` counts the equal tokens. Items of fewer than
+    SHORT tokens must occur whole and unchanged. Null and empty texts have no overlap. Rows with equal
     texts are judged alike, each on its own.
     """
-    short = min(map(len, MASKS))
     bank = items.select(item, tokens(F.col(text)).alias("i_toks")).where(F.size("i_toks") > 0)
     size = bank.agg(F.coalesce(F.sum(F.length(F.array_join("i_toks", " "))), F.lit(0))).first()[0]
     hint = F.broadcast if size * len(MASKS) * 4 <= BROADCAST_BYTES else (lambda df: df)
-    long = bank.where(F.size("i_toks") >= short)
+    long = bank.where(F.size("i_toks") >= SHORT)
     index = seeds(long, [item], "i_toks", "j").where("seed is not null").select("seed", item, "j").distinct()
     d = docs.select(key, tokens(F.col(text)).alias("d_toks"))
     hits = seeds(d, [key], "d_toks", "i").join(hint(index), "seed")
@@ -73,7 +73,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
     found = near.select(
         key, item, (F.col("shift") + F.col("first") + a).cast("long").alias("doc_start"), (F.col("first") + a).cast("long").alias("item_start"), (b - a).cast("long").alias("length"), (b - a - F.get("diff", b) + F.get("diff", a)).cast("long").alias("same")
     )
-    tiny = bank.where(F.size("i_toks") < short)
+    tiny = bank.where(F.size("i_toks") < SHORT)
     whole = d.select(key, F.explode(F.transform(F.array_distinct("d_toks"), lambda t: t)).alias("t"), "d_toks").join(hint(tiny.withColumn("t", F.get("i_toks", F.lit(0)))), "t")
     at = F.filter(F.sequence(F.lit(0), F.size("d_toks") - F.size("i_toks")), lambda s: F.slice("d_toks", s + 1, F.size("i_toks")) == F.col("i_toks"))
     whole = whole.where(F.size("d_toks") >= F.size("i_toks")).select(key, item, F.size("i_toks").cast("long").alias("length"), F.explode(at).alias("s"))

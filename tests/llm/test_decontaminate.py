@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -70,3 +71,27 @@ def test_shuffled_join_and_empty(spark, monkeypatch):
     assert sorted(decontaminate.leaks(d, i).collect()) == sorted(want)
     assert decontaminate.leaks(d.limit(0), i).count() == 0
     assert decontaminate.leaks(d, i.limit(0)).count() == 0
+
+
+def places(n):
+    """All sets of places that may differ in n tokens: of up to 2 in 13, in proportion in fewer."""
+    return list(itertools.combinations(range(n), 2 * min(n, 13) // 13))
+
+
+def test_masks_meet_every_placement():
+    for n in range(decontaminate.SHORT, 14):
+        for gone in places(n):
+            assert any(all(m == "0" or s + i not in gone for i, m in enumerate(mask)) for mask in decontaminate.MASKS for s in range(n - len(mask) + 1)), (n, gone)
+
+
+def test_substitutions_at_all_places(spark):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in range(8, 17)]
+    docs = []
+    for n, text in items:
+        for gone in places(n):
+            docs.append((len(docs), "before it " + " ".join("other" if k in gone else w for k, w in enumerate(text.split())) + " after"))
+    want = brute(docs, items)
+    assert len(want) == len(docs) > 400
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, i).collect()} == want
