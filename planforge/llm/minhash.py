@@ -295,12 +295,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """(id, n_shingles, component_id, kept) of every row.
 
     component_id is the smallest id that links (100 * intersection >= percent * union of the shingle sets) lead to.
-    A row without words has an empty set and is linked with nothing. Ids are integers, one for each
-    different text; a repeated row is returned as often as it comes. An empty table returns no rows.
+    A row without words has an empty set and is linked with nothing. A row with a null id is kept, is linked with
+    nothing and has no component_id. Other ids are integers, one for each different text; a repeated row is returned
+    as often as it comes. An empty table returns no rows.
     """
     similarity = percent / 100
     prints = saved(fingerprints(docs, key, text, width), "prints")
-    classes = prints.where("n > 0").groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("least")).select("set_key", "least.id", "least.sig")
+    classes = prints.where("n > 0 and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("least")).select("set_key", "least.id", "least.sig")
     classes = saved(classes, "classes")
     spread = buckets(classes)
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
@@ -315,9 +316,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     owner = saved(classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id")), "owner")
     for used in (classes, members, sets, labels):
         dropped(used)
-    out = prints.select("id", "n", "set_key").join(owner, "set_key", "left")
+    out = prints.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key")).join(owner, "set_key", "left")
     component = F.coalesce("component_id", "id")
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
@@ -326,6 +327,6 @@ def op5_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates over 5-word shingles, the smallest doc_id stays."""
+    """Pipeline stage: of each group of near-duplicates over 5-word shingles, the smallest doc_id stays; so do all rows with a null doc_id."""
     kept = near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))

@@ -70,6 +70,16 @@ def test_only_empty_texts(spark):
     assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()) == [(i, 0, i, True) for i in (1, 2, 3)]
 
 
+def test_null_ids_are_kept_and_linked_with_nothing(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(4, text), (None, text), (None, text), (None, text + " more"), (None, ""), (None, None), (7, text + " end"), (9, "alone in here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(4, 26, 4, True), (7, 27, 4, False), (9, 1, 9, True), (None, 26, None, True), (None, 26, None, True), (None, 27, None, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+    kept = minhash.keep_first(spark, df, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([r for r in rows if r[0] != 7], key=str)
+
+
 def test_long_chain_of_links(spark):
     links = [(i, i + 1) for i in range(200)] + [(500, 501)]
     r = links[:]
