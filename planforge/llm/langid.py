@@ -225,6 +225,12 @@ def op2_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_labelled(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any text that a language can be told of go; `lang` stays as it is."""
-    out = label(docs, _learned(docs), spans=False)
+    """Pipeline stage: documents without a letter, and null texts, go, whatever their language or its score; `lang` stays as it is.
+
+    All labelled rows may be learned from. Where none is, no language can be told, and the letters alone decide.
+    """
+    model = train(docs)
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    out = label(docs, model, spans=False)
     return out.where(F.col("lang_pred") != UND).select(*docs.columns)

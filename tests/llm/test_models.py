@@ -43,6 +43,17 @@ def test_no_language_learned(spark):
     assert [r.lang_pred for r in langid.label(df, langid.Model([], [])).collect()] == ["und"]
 
 
+def test_stage_keeps_letters_whatever_was_learned(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2][:5]
+    texts = ["the cat and the dog", "12 34", "кошка", None, ""]
+    for langs in ([None] * 5, ["en", None, "ru", None, None]):
+        rows = list(zip(held, texts, langs, strict=True))
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = langid.keep_labelled(spark, df, "")
+        assert got.columns == df.columns
+        assert sorted(map(tuple, got.collect())) == sorted([rows[0], rows[2]])
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     lengths = np.array([3, 0, 6, 1, 5])
