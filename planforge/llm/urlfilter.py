@@ -73,11 +73,11 @@ RULE_SCHEMA = T.StructType(
 )
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6, least: int = 30, longest: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: float = 0.002, min_confidence: float = 0.6, least: int = 30) -> DataFrame:
     """Rules (rule_id, tokens, support, confidence) that tell bad URLs, mined over all labelled rows.
 
     `bad` is boolean or 0/1; rows with a null there or without tokens don't count. A rule needs
-    max(least, min_support * rows) rows with its tokens and the bad outcome, has at most `longest` tokens, and holds
+    max(least, min_support * rows) rows with its tokens and the bad outcome, any number of tokens, and holds
     no shorter rule. No labelled rows give no rules. Each token of a rule is in at least min_support
     of the rows, and a row has a bounded number of tokens, so the number of rules doesn't grow with the rows.
     """
@@ -89,7 +89,6 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     support = min(1.0, max(min_support, least / n))
     items = rows.select(F.when(F.col("b"), F.concat("t", F.array(F.lit(BAD)))).otherwise(F.col("t")).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets
-    sets = sets.where(F.size("items") <= longest + 1)
     plain = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("seen"))
     bad_sets = sets.where(F.array_contains("items", BAD)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("support"))
     rules = bad_sets.where(F.size("tokens") > 0).join(plain, "tokens").withColumn("confidence", F.col("support") / F.col("seen")).where(F.col("confidence") >= min_confidence)

@@ -62,6 +62,15 @@ def test_mined_rules(spark):
     assert found == {i for i in tokens if any(set(c) <= set(tokens[i]) for c in want)}
 
 
+def test_rules_of_four_tokens(spark):
+    # Bad are the URLs with all four of their parts as they should be; any three of them are bad in half of the rows.
+    urls = [f"{s}://{h}/{p}?{k}=1" for s in ("http", "https") for h in ("spam", "good") for p in ("buy", "read") for k in ("id", "ref")]
+    df = spark.createDataFrame([(n, u, u == urls[0]) for n, u in enumerate(urls * 40)], "page_id long, url string, bad boolean")
+    rules = U.mine(df)
+    assert [(r.tokens, r.support, r.confidence) for r in rules.collect()] == [(["host0=spam", "key=id", "path0=buy", "scheme=http"], 40, 1.0)]
+    assert {r.page_id % len(urls) for r in U.matching(df, rules, "page_id").collect()} == {0}
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([], "page_id long, url string, bad boolean")
     assert U.mine(df).count() == 0
