@@ -1,7 +1,7 @@
 """URL filters: host and path rules, and association rules that FP-growth mines from labelled URLs.
 
 A URL's tokens are its scheme, host labels by their distance from the end, path segments with digits
-folded, file endings and query keys. FP-growth finds combinations of tokens, joined with the outcome
+folded, the file ending of the last segment and query keys. FP-growth finds combinations of tokens, joined with the outcome
 as one more item; a combination blocks if enough of its rows are bad (confidence) and there are
 enough of them (support). Combinations whose part already blocks are pruned. A URL is
 matched through an inverted index from token to rule. All of it is DataFrame operations.
@@ -59,10 +59,12 @@ def tokens_of(url: Column) -> Column:
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^[^=]*", 0)), lambda x: x != "")
     parts = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "0"), "/"), lambda x: x != "")
+    ending = F.lower(F.regexp_extract(path, r"/[^/]+\.([^./]+)\z", 1))
     tokens = F.concat(
         F.when(F.instr(url, "://") > 0, F.array(F.concat(F.lit("scheme="), F.lower(F.regexp_extract(url, r"^(.*?)://", 1))))).otherwise(F.array().cast("array<string>")),
         F.transform(labels, lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit("="), x)),
         F.transform(parts, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit("="), x)),
+        F.when(ending != "", F.array(F.concat(F.lit("ending="), ending))).otherwise(F.array().cast("array<string>")),
         F.transform(keys, lambda x: F.concat(F.lit("key="), x)),
     )
     return F.coalesce(F.array_distinct(tokens), F.array().cast("array<string>"))

@@ -3,6 +3,8 @@ import random
 from collections import Counter
 from urllib.parse import urlsplit
 
+from pyspark.sql import functions as F
+
 from planforge.llm import urlfilter as U
 
 URLS = [
@@ -71,6 +73,19 @@ def test_rules_of_four_tokens(spark):
     assert {r.page_id % len(urls) for r in U.matching(df, rules, "page_id").collect()} == {0}
 
 
+def test_file_endings(spark):
+    want = {"http://h/a/setup.EXE?x=b.png#c.gif": "exe", "http://h/a.tar.gz": "gz", "http://h/v1.mp4": "mp4", "http://h.exe": None, "http://h/": None, "http://h/a.b/": None, "http://h/.profile": None, "http://h/a.": None, "http://h/a?x.exe": None, None: None}
+    df = spark.createDataFrame([(u,) for u in want], "url string").withColumn("t", U.tokens_of(F.col("url")))
+    got = {r.url: [t[7:] for t in r.t if t.startswith("ending=")] for r in df.collect()}
+    assert got == {u: [e] if e else [] for u, e in want.items()}
+    urls = [f"http://h{n % 7}/{'ab'[n % 2]}{chr(97 + n % 25)}/{chr(97 + n % 23)}tool.{'exe' if n % 3 == 0 else 'html'}" for n in range(300)]
+    pages = spark.createDataFrame([(n, u, n % 3 == 0) for n, u in enumerate(urls)], "page_id long, url string, bad boolean")
+    rules = U.mine(pages)
+    assert [r.tokens for r in rules.collect()] == [["ending=exe"]]
+    verdicts = {r.page_id: r.verdict for r in U.judge(pages, rules).collect()}
+    assert verdicts == {n: "block" if n % 3 == 0 else "allow" for n in range(300)}
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([], "page_id long, url string, bad boolean")
     assert U.mine(df).count() == 0
