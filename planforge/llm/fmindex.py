@@ -71,7 +71,7 @@ class FMIndex:
         return both[: len(lo)], both[len(lo) :]
 
     def find(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matching statistics of a streamed text, held against the threshold `length`.
+        """Whether the matches of a streamed text reach the threshold `length`; their own lengths aren't computed.
 
         From each end (exclusive) the match is extended to the left as long as it has at least two
         occurrences, one being the place itself if the text is indexed. Returns the numbers of the ends

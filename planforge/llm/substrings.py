@@ -1,4 +1,4 @@
-"""Substring deduplication over words: FM-index shards, matching statistics, intervals above a threshold."""
+"""Substring deduplication over words: windows of one length, searched in an FM-index of each group of segments."""
 
 from __future__ import annotations
 
