@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from array import array
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import in_batches, slices, table
+from planforge.llm.common import in_batches, kept, slices, table
 
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies, with \s as White_Space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -121,12 +120,11 @@ class Codec:
         return self.decode_packed(array("I", ids).tobytes())
 
 
-@functools.lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept(f"bpe {path}", lambda: Codec(path))
 
 
-def _mapped(df: DataFrame, column: str, fields: list[T.StructField], values: Callable[[list], list[list]]) -> DataFrame:
+def _mapped(df: DataFrame, column: str, path: str, fields: list[T.StructField], values: Callable[[list], list[list]]) -> DataFrame:
     """Append columns that `values` makes from the list of one column's values."""
     names = [f.name for f in fields]
     rest = df.drop(*names)
@@ -138,7 +136,7 @@ def _mapped(df: DataFrame, column: str, fields: list[T.StructField], values: Cal
                 made = values(part.column(column).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(v, k) for v, k in zip(made, kinds, strict=True))], names=[*part.schema.names, *names])
 
-    return in_batches(rest, run, T.StructType([*rest.schema.fields, *fields]))
+    return in_batches(rest, run, T.StructType([*rest.schema.fields, *fields]), f"bpe {path}")
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -147,12 +145,12 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     A null text counts as empty; an empty text has no ids. All other columns stay; one
     named `ids_le` is replaced.
     """
-    return _mapped(df, text, [T.StructField("ids_le", T.BinaryType())], lambda v: [[codec(path).encode_packed(x or "") for x in v]])
+    return _mapped(df, text, path, [T.StructField("ids_le", T.BinaryType())], lambda v: [[codec(path).encode_packed(x or "") for x in v]])
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids_le") -> DataFrame:
     """Add `decoded` (string): the vocabulary strings of the ids, concatenated. Null ids count as none."""
-    return _mapped(df, ids, [T.StructField("decoded", T.StringType())], lambda v: [[codec(path).decode_packed(x or b"") for x in v]])
+    return _mapped(df, ids, path, [T.StructField("decoded", T.StringType())], lambda v: [[codec(path).decode_packed(x or b"") for x in v]])
 
 
 def roundtrip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -163,7 +161,7 @@ def roundtrip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         ids = [c.encode_packed(x or "") for x in v]
         return [ids, [c.decode_packed(x) for x in ids]]
 
-    return _mapped(df, text, [T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType())], both)
+    return _mapped(df, text, path, [T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType())], both)
 
 
 def default_path() -> str:

@@ -1,13 +1,15 @@
-"""A compressed FM-index over integer sequences: Burrows-Wheeler transform in a wavelet matrix.
+"""A compressed FM-index over integer sequences: Burrows-Wheeler transform in a wavelet matrix, sampled suffix places.
 
-The bits of each level are packed, with a count of the ones before every 64. All queries of a
-batch take each backward step together.
+The bits of each level are packed, with a count of the ones before every 64. Of the suffix array only the places stay that
+are multiples of SAMPLED or follow a separator; others are found by walking to one. All queries of a batch take each step together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+SAMPLED = 8
+
 
 def bounded_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """The order of the suffixes by their first `depth` symbols at least, by doubling of the ranked prefix."""
@@ -17,7 +19,7 @@ def bounded_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         if done >= depth:
             return np.argsort(rank, kind="stable")
         after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - done] = rank[done:]
+        after[: max(0, len(rank) - done)] = rank[done:]
         rank = np.unique(rank * (len(rank) + int(rank.max()) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
         done *= 2
 
@@ -37,13 +39,21 @@ class Bits:
         low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
         return self.before[word] + np.bitwise_count(self.words[word] & low)
 
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return ((self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
 
 class FMIndex:
-    """Counts, and finds, patterns of up to `depth` symbols from 0 on in a text of such symbols."""
+    """Counts and finds patterns of up to `depth` symbols in a text of symbols from 1 on; its last symbol is a separator 0."""
 
     def __init__(self, text: np.ndarray, depth: int):
-        self.order = bounded_suffix_array(text, depth)
-        bwt = text[self.order - 1]  # the text is a cycle; its last symbol should be a separator
+        # Suffixes are sorted a little deeper than patterns reach: a walk of fewer than SAMPLED steps then ends, for
+        # the rows of a pattern together, at all of its occurrences, though two of them may change places.
+        order = bounded_suffix_array(text, depth + SAMPLED)
+        self.size = len(order)
+        bwt = text[order - 1]  # the text is a cycle
+        marked = (order % SAMPLED == 0) | (bwt == 0)
+        self.marks, self.places = Bits(marked.astype(np.uint8)), order[marked].astype(np.int32)
         top = int(text.max()) if len(text) else 0
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=top + 1))])
         self.levels = []
@@ -70,19 +80,48 @@ class FMIndex:
         both = self.rank(np.concatenate([symbols, symbols]), np.concatenate([lo, hi])) + np.tile(self.smaller[symbols], 2)
         return both[: len(lo)], both[len(lo) :]
 
-    def find(self, text: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether the matches of a streamed text reach the threshold `length`; their own lengths aren't computed.
+    def before(self, rows: np.ndarray) -> np.ndarray:
+        """The rows of the suffixes that are one symbol longer."""
+        symbols, at = np.zeros(len(rows), np.int64), rows
+        for level in self.levels:
+            one = level.get(at)
+            ones = level.rank1(at)
+            symbols = (symbols << 1) | one
+            at = np.where(one, level.zeros + ones, at - ones)
+        return at - self.begin[symbols] + self.smaller[symbols]
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The places in the text of a pattern's rows, as a set: steps to the front until a place that was kept."""
+        out = np.empty(len(rows), np.int64)
+        left, at = np.arange(len(rows)), rows
+        for steps in range(SAMPLED):  # never across a separator
+            here = self.marks.get(at)
+            out[left[here]] = self.places[self.marks.rank1(at[here])] + steps
+            left, at = left[~here], self.before(at[~here])
+            if not len(left):
+                break
+        return out
 
-        From each end (exclusive) the match is extended to the left as long as it has at least two
-        occurrences, one being the place itself if the text is indexed. Returns the numbers of the ends
-        whose match reaches `length`, and their intervals in the order of suffixes.
+    def statistics(self, text: np.ndarray, ends: np.ndarray, limits: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of a streamed text, and the intervals of the matches that reach `threshold`.
+
+        From each end (exclusive) the match is extended to the left, at most `limits` symbols, as long as it has at
+        least two occurrences, one being the place itself if the text is indexed. Returns the lengths of all matches,
+        and the interval of the last `threshold` symbols of each (empty if the match is shorter).
         """
+        length = np.zeros(len(ends), np.int64)
+        at = np.zeros((2, len(ends)), np.int64)
         live = np.arange(len(ends))
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), len(self.order), np.int64)
-        for k in range(1, length + 1):
+        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        k = 0
+        while len(live):
+            k += 1
+            keep = limits[live] >= k
+            live, lo, hi = live[keep], lo[keep], hi[keep]
             lo, hi = self.extend(text[ends[live] - k], lo, hi)
             keep = hi - lo > 1
             live, lo, hi = live[keep], lo[keep], hi[keep]
-            if not len(live):
-                break
-        return live, lo, hi
+            length[live] = k
+            if k == threshold:
+                at[0, live], at[1, live] = lo, hi
+        return length, at[0], at[1]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import bounded_sample, in_batches, slices, table
+from planforge.llm.common import bounded_sample, in_batches, kept, slices, table
 
 #: Code point ranges of scripts, end exclusive.
 SCRIPTS = {
@@ -112,15 +112,9 @@ class Scores:
         return self.rows[all_ids], self.letters[all_ids]
 
 
-_scores: dict[str, Scores] = {}
-
-
 def scores_of(model: Model) -> Scores:
     """One table of words for each worker and model, kept over tasks."""
-    if model.key not in _scores:
-        _scores.clear()
-        _scores[model.key] = Scores(model)
-    return _scores[model.key]
+    return kept(f"langid {model.key}", lambda: Scores(model))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -128,7 +122,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 
     Changing the language between two words costs `penalty`. Ties stay, then go to the first language.
     """
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int16)
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
     if not len(order):
@@ -137,14 +131,14 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     size = lengths[order]
     active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
     best = scores[start].copy()
-    came = np.empty((len(scores), scores.shape[1]), np.int8)
+    came = np.empty((len(scores), scores.shape[1]), np.int8 if scores.shape[1] < 128 else np.int16)
     for t in range(1, int(size[0])):
         n = active[t]
         b, at = best[:n], start[:n] + t
         top = b.argmax(1)
         high = b.max(1)[:, None] - penalty
         stay = b >= high
-        came[at] = np.where(stay, np.arange(b.shape[1], dtype=np.int8), top[:, None])
+        came[at] = np.where(stay, np.arange(b.shape[1]), top[:, None])
         best[:n] = np.maximum(b, high) + scores[at]
     state = best.argmax(1)
     path[start + size - 1] = state
@@ -157,11 +151,10 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return path
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 3000) -> Model:
-    """Fit on at most `sample_rows` labelled rows, those with the smallest hash of `key`."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = bounded_sample(rows.select(key, text, lang), key, sample_rows).collect()
-    return Model([r[1] for r in rows], [r[2] for r in rows])
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 3000) -> Model:
+    """Fit on at most `sample_rows` labelled rows of bounded length: see bounded_sample()."""
+    rows = bounded_sample(docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), "text", sample_rows)
+    return Model([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
@@ -209,7 +202,7 @@ def label(df: DataFrame, model: Model, text: str = "text", penalty: float = 12.0
                     columns.append(pa.array(made, kind))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *names])
 
-    return in_batches(rest, run, T.StructType([*rest.schema.fields, *fields[: len(names)]]))
+    return in_batches(rest, run, T.StructType([*rest.schema.fields, *fields[: len(names)]]), f"langid {model.key}")
 
 
 def _learned(docs: DataFrame) -> Model:
@@ -219,9 +212,9 @@ def _learned(docs: DataFrame) -> Model:
 def op2_langid(spark, sf_dir: str) -> DataFrame:
     """The language of every whole text; documents whose crc32(doc_id) mod 4 is 2 are never learned from."""
     docs = table(spark, sf_dir, "documents")
-    out = label(docs.select("doc_id", "text"), _learned(docs), spans=False)
+    out = label(docs.select("doc_id", "text"), _learned(docs))
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "lang_spans")
 
 
 def keep_labelled(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,22 +1,23 @@
-"""What substring and suffix-array deduplication share: finding the places that can repeat.
+"""What substring and suffix-array deduplication share: bringing the places that can repeat together.
 
 Text is a sequence of units (words or bytes), and a window is `window` units in a row. Every window
 picks an anchor: of the `gram` units in a row that it holds, those with the smallest hash, the leftmost among
 equals. The choice depends on the window's units alone, so equal windows have equal anchors
-at equal places. Neighbouring windows mostly share theirs: a run of windows with one anchor is a segment.
-
-1. One shuffle of (anchor, hash of the segment, id), distinct in each document, sorts out what needs no
-   search: anchors that only one document has, and segments that a smaller id has whole, which go. What is
-   left are the first of several different segments of an anchor.
-2. These segments are cut out of the whole texts.
-3. A method (an index or a sort) gets all segments of an anchor together and says which of their
-   windows start in a document with a smaller id. An anchor with more than `hot` rows is replaced by its
-   windows, each a segment of its own, so no group of different segments grows without bound.
-4. The intervals found are joined to the whole texts again.
+at equal places. Neighbouring windows mostly share theirs: a run of windows with one anchor is a piece.
+
+1. Thinning: one shuffle of (anchor, hash of the piece, id), distinct in each document, leaves out anchors that
+   one id alone has. Nothing else is decided by hashes.
+2. Each different piece is cut out of one text that has it, that of the smallest id.
+3. The pieces are range-partitioned by their anchors and sorted; a method (an index or a sort) takes them in shards
+   of bounded size and finds the smallest id that each of their windows occurs with. Anchors at the edge of a shard
+   may go on in the next one: their windows are compared across shards, by their bytes.
+4. The findings, one for each different piece, go to all documents that have the piece, by its digest. An anchor or
+   piece with many rows is salted or met by a broadcast of bounded size, so none of them lands in one task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -26,16 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from planforge.llm.common import dropped, in_batches, saved, slices
+from planforge.llm.common import dropped, in_batches, integer_ids, saved, slices
 from planforge.llm.textarrays import mixed, windows, words_of
 
-HOT = 1_000_000
-#: Bits of a packed hash that hold the place; a slice of text has fewer units.
-PLACE = np.uint64(28)
+#: Bits of a packed hash that hold a place, and the windows that are looked at together, which are fewer.
+PLACE, TOGETHER = np.uint64(28), 1 << 21
+#: Bytes of text that are turned into arrays together; a longer text is cut into blocks that overlap by a window.
+BLOCK = 1 << 20
+#: Documents that are sampled to find anchors with many rows; the sample decides how rows are dealt, not the result.
+SAMPLE, OFTEN = 8192, 16
 
 
 class Units(NamedTuple):
-    """The units of several texts; text t has the units first[t]:first[t + 1], unit u the bytes start[u]:end[u] of data."""
+    """The units of several blocks; block t has the units first[t]:first[t + 1], unit u the bytes start[u]:end[u] of data."""
 
     data: np.ndarray
     start: np.ndarray
@@ -59,8 +63,7 @@ def eight(data: np.ndarray) -> np.ndarray:
     return v[: len(data)]
 
 
-def units_of(texts: list[str | None], spec: Spec) -> Units:
-    raw = [t.encode() if t else b"" for t in texts]
+def units_of(raw: list[bytes], spec: Spec) -> Units:
     if spec.unit == "words":
         w = words_of(raw)
         return Units(w.data, w.start, w.end, w.first, windows(w.hashes(), spec.gram))
@@ -77,219 +80,372 @@ def units_of(texts: list[str | None], spec: Spec) -> Units:
     return Units(data, at, at + 1, first, mixed(grams)[: max(0, len(data) - spec.gram + 1)])
 
 
-def segments(units: Units, spec: Spec) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window's unit, last window's unit, anchor's unit) of each run of windows with one anchor."""
+def blocks_of(raw: bytes, spec: Spec, most: int = BLOCK) -> Iterator[bytes]:
+    """A text whole, or blocks of about `most` bytes that overlap by a window less one unit: each window is in one block."""
+    if len(raw) <= most:
+        yield raw
+        return
+    a = 0
+    while True:
+        b = a + most
+        if spec.unit == "words":
+            while b < len(raw) and raw[b] not in b" \t\n\v\f\r":
+                b += 1
+        block = raw[a:b]
+        if b >= len(raw):
+            yield block
+            return
+        if spec.unit == "bytes":
+            yield raw[a : b + spec.window - 1]
+            a = b
+            continue
+        parts = block.rsplit(None, spec.window - 1)
+        if len(parts) < spec.window:  # very long words: the block grows until it has a window
+            most *= 2
+            continue
+        yield block
+        a += len(parts[0])
+
+
+def gathered(texts: list[str | None], spec: Spec, most: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, Units]]:
+    """Groups of blocks of about `most` bytes: the number of each block's text, that of its first unit in the text, and the units."""
+    rows: list[int] = []
+    raws: list[bytes] = []
+    size, last, shift = 0, -1, 0
+
+    def done() -> tuple[np.ndarray, np.ndarray, Units]:
+        nonlocal last, shift
+        units = units_of(raws, spec)
+        begin = []
+        for row, n in zip(rows, np.diff(units.first).tolist(), strict=True):
+            shift = shift if row == last else 0
+            begin.append(shift)
+            last, shift = row, shift + n - spec.window + 1
+        return np.array(rows), np.array(begin), units
+
+    for i, text in enumerate(texts):
+        for block in blocks_of(text.encode() if text else b"", spec, most):
+            if size and size + len(block) > most:
+                yield done()
+                rows, raws, size = [], [], 0
+            rows.append(i)
+            raws.append(block)
+            size += len(block)
+    if rows:
+        yield done()
+
+
+class Pieces(NamedTuple):
+    """Runs of windows with one anchor: their block, the units of the first and the last window, and that of the anchor."""
+
+    block: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    anchor: np.ndarray
+
+
+def pieces_of(units: Units, spec: Spec) -> Pieces:
     counts = np.diff(units.first)
     free = np.maximum(0, counts - spec.window + 1)
-    total = int(free.sum())
-    if not total:
-        return (np.zeros(0, np.int64),) * 4
+    block = np.repeat(np.arange(len(counts)), free)
+    at = np.arange(int(free.sum())) - np.repeat(np.cumsum(free) - free, free) + units.first[:-1][block]
     span = spec.window - spec.gram + 1  # grams in a window
-    low = (units.grams >> PLACE << PLACE) | np.arange(len(units.grams), dtype=np.uint64)
-    done = 1
-    while done * 2 <= span:
-        low = np.minimum(low[: len(low) - done], low[done:])
-        done *= 2
-    if done < span:
-        low = np.minimum(low[: len(low) - (span - done)], low[span - done :])
-    text = np.repeat(np.arange(len(counts)), free)
-    at = np.arange(total) - np.repeat(np.cumsum(free) - free, free) + units.first[:-1][text]
-    anchor = (low[at] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
+    anchor = np.zeros(len(at), np.int64)
+    for k in range(0, len(at), TOGETHER):
+        part = at[k : k + TOGETHER]
+        zero = int(part[0])
+        low = units.grams[zero : int(part[-1]) + span]
+        low = (low >> PLACE << PLACE) | np.arange(len(low), dtype=np.uint64)
+        done = 1
+        while done * 2 <= span:
+            low = np.minimum(low[: len(low) - done], low[done:])
+            done *= 2
+        if done < span:
+            low = np.minimum(low[: len(low) - (span - done)], low[span - done :])
+        anchor[k : k + TOGETHER] = (low[part - zero] & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64) + zero
+    new = np.ones(len(at), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (block[1:] != block[:-1])
     begin = np.flatnonzero(new)
-    last = np.append(begin[1:], total) - 1
-    return text[begin], at[begin], at[last], anchor[begin]
+    last = np.append(begin[1:], len(at))[: len(begin)] - 1
+    return Pieces(block[begin], at[begin], at[last], anchor[begin])
 
 
-def whole_hashes(units: Units, spec: Spec, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hashes of the segments of the windows a to b: of grams side by side, the last at the end."""
-    last = b + spec.window - spec.gram
-    out = (b - a).astype(np.uint64)
-    for k in range(0, int((last - a).max()) + spec.gram if len(a) else 0, spec.gram):
-        more = a + k < last + spec.gram
-        out = np.where(more, mixed(out) + units.grams[np.minimum(a + k, last)], out)
-    return mixed(out).view(np.int64)
+def hashes_of(units: Units, spec: Spec, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each piece's anchor and of the whole piece: of grams side by side, the last at the end."""
+    last = p.b + spec.window - spec.gram
+    out = (p.b - p.a).astype(np.uint64)
+    for k in range(0, int((last - p.a).max()) + spec.gram if len(p.a) else 0, spec.gram):
+        more = p.a + k < last + spec.gram
+        out = np.where(more, mixed(out) + units.grams[np.minimum(p.a + k, last)], out)
+    return units.grams[p.anchor].view(np.int64), mixed(out).view(np.int64)
 
 
-def pair_keys(h: np.ndarray, seg: np.ndarray) -> np.ndarray:
-    return mixed(h.view(np.uint64) * np.uint64(3) + mixed(seg.view(np.uint64)))
+def cut_out(units: Units, spec: Spec, p: Pieces) -> list[bytes]:
+    """The bytes of pieces; words are parted by one space."""
+    raw = memoryview(units.data)
+    ends = units.end[p.b + spec.window - 1].tolist() if len(p.b) else []
+    out = [bytes(raw[i:j]) for i, j in zip(units.start[p.a].tolist(), ends, strict=True)]
+    return [b" ".join(x.split()) for x in out] if spec.unit == "words" else out
 
 
-SURE, TEXT, SPLIT = 1, 2, 3
+def digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def chosen(p: Pieces, at: np.ndarray) -> Pieces:
+    return Pieces(*(x[at] for x in p))
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Where each row's entries begin and end, and all entries."""
+    return lists.offsets.to_numpy(), lists.values
 
 
 def _anchors(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(h, seg, id), once for each segment of a document: hashes of its anchor and of the whole of it."""
+    """(h, seg, id, row), once for each different piece of a block: hashes of its anchor and of the whole of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                units = units_of(part.column("text").to_pylist(), spec)
-                text, a, b, anchor = segments(units, spec)
-                keys, seg = units.grams[anchor].view(np.int64), whole_hashes(units, spec, a, b)
-                order = np.lexsort((pair_keys(keys, seg), text))
-                text, keys, seg = text[order], keys[order], seg[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (seg[1:] != seg[:-1]) | (text[1:] != text[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(seg[new]), part.column("id").take(pa.array(text[new]))], names=["h", "seg", "id"])
+            for rows, _, units in gathered(batch.column("text").to_pylist(), spec):
+                p = pieces_of(units, spec)
+                h, seg = hashes_of(units, spec, p)
+                order = np.lexsort((seg, h, p.block))
+                block, h, seg = p.block[order], h[order], seg[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (seg[1:] != seg[:-1]) | (block[1:] != block[:-1])
+                own = pa.array(rows[block[new]])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(seg[new]), batch.column("id").take(own), batch.column("row").take(own)], names=["h", "seg", "id", "row"])
 
-    return in_batches(docs, run, "h long, seg long, id long")
+    return in_batches(docs, run, "h long, seg long, id long, row long")
 
 
 def _cut(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(h, lead, id, start, end, seg) from documents with lists of `parts` (h, seg, kind).
+    """(lead, h, seg, n, id, anchor, piece) of the pieces that documents with lists of `parts` (h, seg, n) are asked for.
 
-    Sure segments come as joined intervals of units without `seg`; the others with their text, those to be split as their windows.
-    `lead` has the anchor's own bytes (of a split window: all).
+    `lead` has the anchor's own bytes, `anchor` is its place in the piece.
     """
+    names = ["lead", "h", "seg", "n", "id", "anchor", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
-                units = units_of(part.column("text").to_pylist(), spec)
-                text, a, b, anchor = segments(units, spec)
-                keys = units.grams[anchor].view(np.int64)
-                pairs = pair_keys(keys, whole_hashes(units, spec, a, b))
-                lists = part.column("parts")
-                ends, flat = lists.offsets.to_numpy(), lists.values
-                known = pair_keys(flat.field("h").to_numpy(), flat.field("seg").to_numpy())
-                kinds = flat.field("kind").to_numpy()
-                kind = np.zeros(len(keys), np.int8)
-                edge = np.searchsorted(text, np.arange(part.num_rows + 1))
-                for i in range(part.num_rows):
-                    own = known[ends[i] : ends[i + 1]]
-                    order = np.argsort(own)
-                    mine = pairs[edge[i] : edge[i + 1]]
-                    at = order[np.minimum(np.searchsorted(own, mine, sorter=order), len(own) - 1)]
-                    kind[edge[i] : edge[i + 1]] = np.where(own[at] == mine, kinds[ends[i] : ends[i + 1]][at], 0)
-                sure = kind == SURE
-                if sure.any():
-                    t, x, y = text[sure], a[sure], b[sure] + spec.window
-                    new = np.ones(len(t), bool)  # units of texts don't touch, but their intervals may
-                    new[1:] = (t[1:] != t[:-1]) | (x[1:] > np.maximum.accumulate(y)[:-1])
-                    begin = np.flatnonzero(new)
-                    zero = units.first[:-1][t[begin]]
-                    n = len(begin)
-                    stop = np.maximum.reduceat(y, begin)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), part.column("id").take(pa.array(t[begin])), pa.array(x[begin] - zero), pa.array(stop - zero), pa.nulls(n, pa.binary())], names=["h", "lead", "id", "start", "end", "seg"]
-                    )
-                wanted = kind >= TEXT
-                text, a, b, anchor, keys = (x[wanted] for x in (text, a, b, anchor, keys))
-                hot = kind[wanted] == SPLIT
-                lead_a, lead_b = units.start[anchor], units.end[anchor + spec.gram - 1] if len(anchor) else anchor
-                if hot.any():
-                    n = np.where(hot, b - a + 1, 1)
-                    own = np.repeat(np.arange(len(n)), n)
-                    step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                    whole = windows_at(units, spec, a[own] + step)
-                    text, keys, single = text[own], np.where(hot[own], whole, keys[own]), hot[own]
-                    a, b = a[own] + step, np.where(single, a[own] + step, b[own])
-                    lead_a = np.where(single, units.start[a], lead_a[own])
-                    lead_b = np.where(single, units.end[a + spec.window - 1], lead_b[own])
+            keys = list(zip(batch.column("id").to_pylist(), batch.column("row").to_pylist(), strict=True))
+            fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else before)]  # repeated rows are neighbours
+            before = keys[-1] if keys else before
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            edge, entries = flat(batch.column("parts"))
+            wanted_h, wanted_seg, n = (entries.field(c).to_numpy() for c in ("h", "seg", "n"))
+            wanted = mixed(wanted_h.view(np.uint64) * np.uint64(3) + mixed(wanted_seg.view(np.uint64)))
+            for rows, _, units in gathered(batch.column("text").to_pylist(), spec):
+                p = pieces_of(units, spec)
+                h, seg = hashes_of(units, spec, p)
+                pair = mixed(h.view(np.uint64) * np.uint64(3) + mixed(seg.view(np.uint64)))
+                begin = np.searchsorted(p.block, np.arange(len(rows) + 1))
+                found = np.full(len(h), -1, np.int64)
+                for k, row in enumerate(rows.tolist()):
+                    a, b = edge[row], edge[row + 1]
+                    if a == b:
+                        continue
+                    mine = pair[begin[k] : begin[k + 1]]
+                    order = np.argsort(wanted[a:b])
+                    at = order[np.minimum(np.searchsorted(wanted[a:b], mine, sorter=order), b - a - 1)] + a
+                    found[begin[k] : begin[k + 1]] = np.where(wanted[at] == mine, at, -1)
+                hit = np.flatnonzero(found >= 0)
+                hit = hit[np.unique(p.block[hit] * max(1, len(wanted)) + found[hit], return_index=True)[1]]
+                own, h, seg, n_rows = chosen(p, hit), h[hit], seg[hit], n[found[hit]]
                 raw = units.data.tobytes()
-                x, y = units.start[a].tolist(), units.end[b + spec.window - 1].tolist() if len(b) else []
-                if spec.unit == "words":
-                    segs = [b" ".join(raw[i:j].split()) for i, j in zip(x, y, strict=True)]
-                else:
-                    segs = [raw[i:j] for i, j in zip(x, y, strict=True)]
-                leads = [raw[i:j] for i, j in zip(lead_a.tolist(), lead_b.tolist(), strict=True)] if spec.unit == "bytes" else [None] * len(segs)
-                zero = units.first[:-1][text]
+                ends = units.end[own.anchor + spec.gram - 1].tolist() if len(hit) else []
+                leads = [raw[i:j] for i, j in zip(units.start[own.anchor].tolist(), ends, strict=True)] if spec.unit == "bytes" else [b""] * len(hit)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(leads, pa.binary()), part.column("id").take(pa.array(text)), pa.array(a - zero), pa.array(b - zero + spec.window), pa.array(segs, pa.binary())], names=["h", "lead", "id", "start", "end", "seg"]
+                    [pa.array(leads, pa.binary()), pa.array(h), pa.array(seg), pa.array(n_rows), batch.column("id").take(pa.array(rows[own.block])), pa.array((own.anchor - own.a).astype(np.int32)), pa.array(cut_out(units, spec, own), pa.binary())], names=names
                 )
 
-    return in_batches(docs, run, "h long, lead binary, id long, start long, end long, seg binary")
+    return in_batches(docs, run, "lead binary, h long, seg long, n long, id long, anchor int, piece binary")
+
 
+class Shard(NamedTuple):
+    """Different pieces in the order of their anchors, the smallest id of each, its anchor's number, and the anchor's place in it."""
 
-def windows_at(units: Units, spec: Spec, at: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that begin at the given units."""
-    out = np.zeros(len(at), np.uint64)
-    for k in [*range(0, spec.window - spec.gram, spec.gram), spec.window - spec.gram]:
-        out = mixed(out) + units.grams[at + k]
-    return mixed(out).view(np.int64)
+    pieces: list[bytes]
+    ids: np.ndarray
+    group: np.ndarray
+    anchor: np.ndarray
 
 
-#: From distinct segments and the smallest id of each: which windows of each start in a smaller id's segment.
-Method = Callable[[list[bytes], np.ndarray], list[np.ndarray]]
+#: The smallest id that each window of each piece of a shard occurs with, one piece after the other.
+Method = Callable[[Shard], np.ndarray]
+NOWHERE = np.iinfo(np.int64).max
 
 
 def _searched(rows: DataFrame, spec: Spec, method: Method, most: int) -> DataFrame:
-    """(id, start, end): intervals of units that repeated windows cover; rows come sorted by anchor, segment and id.
+    """(h, seg, n, digest, a, b, least, open): the smallest id that windows a to b (end exclusive) of a piece occur with.
 
-    The method gets whole groups of an anchor, as many at once as have about `most` bytes.
+    Rows come sorted by anchor and piece, and a shard is cut after about `most` bytes. Windows of the first and last
+    anchor of a shard may have others elsewhere; they come one by one, with their bytes as `open`.
     """
-
-    def found(segs: list[bytes], ids: list[int], starts: list[int]) -> tuple[list[int], list[int], list[int]]:
-        out: tuple[list[int], list[int], list[int]] = ([], [], [])
-        for mask, i, s in zip(method(segs, np.array(ids, np.int64)), ids, starts, strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                out[0].append(i)
-                out[1].append(s + a)
-                out[2].append(s + b - 1 + spec.window)
-        return out
-
-    def size(seg: bytes) -> int:
-        return len(seg) if spec.unit == "bytes" else seg.count(b" ") + 1
+    names = ["h", "seg", "n", "digest", "a", "b", "least", "open"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+    def window(piece: bytes, words: list[bytes], k: int) -> bytes:
+        return b" ".join(words[k : k + spec.window]) if spec.unit == "words" else piece[k : k + spec.window]
+
+    def answers(rows: list[tuple]) -> pa.RecordBatch:
+        keys = [(r[0], r[1]) for r in rows]
+        new = [i for i, k in enumerate(keys) if not i or k != keys[i - 1]]
+        group = np.zeros(len(rows), np.int64)
+        group[new] = 1
+        group = np.cumsum(group) - 1
+        pieces, words = [r[6] for r in rows], [r[6].split() if spec.unit == "words" else [] for r in rows]
+        size = np.array([len(w) if spec.unit == "words" else len(p) for w, p in zip(words, pieces, strict=True)], np.int64)
+        free = size - spec.window + 1
+        least = method(Shard(pieces, np.array([r[4] for r in rows], np.int64), group, np.array([r[5] for r in rows], np.int64)))
+        end = np.cumsum(free)
+        edge = np.zeros(len(least), bool)
+        edge[1:] = least[1:] != least[:-1]
+        edge[(end - free)[free > 0]] = True
+        piece = np.repeat(np.arange(len(rows)), free)
+        open_ = (group == 0) | (group == group[-1])
+        begin = np.flatnonzero(edge | open_[piece])
+        stop = np.append(begin[1:], len(least))
+        own = piece[begin]
+        a, b = begin - (end - free)[own], stop - (end - free)[own]
+        keep = least[begin] != NOWHERE
+        own, a, b, begin = own[keep], a[keep], b[keep], begin[keep]
+        marks = [digest(p) for p in pieces]
+        columns = [[rows[i][1] for i in own.tolist()], [rows[i][2] for i in own.tolist()], [rows[i][3] for i in own.tolist()], [marks[i] for i in own.tolist()], a, b, least[begin]]
+        columns.append([window(pieces[i], words[i], k) if o else None for i, k, o in zip(own.tolist(), a.tolist(), open_[own].tolist(), strict=True)])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "start", "end"]
-        segs: list[bytes] = []
-        ids: list[int] = []
-        starts: list[int] = []
-        total, n, last_h, last = 0, 0, None, None
+        shard: list[tuple] = []
+        total = 0
         for batch in batches:
-            sure: tuple[list[int], list[int], list[int]] = ([], [], [])
-            for h, i, s, seg in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "start", "seg")), strict=True):
-                if h == last_h and seg == last:
-                    if i > ids[-1]:  # an equal segment of a smaller id
-                        sure[0].append(i)
-                        sure[1].append(s)
-                        sure[2].append(s + n)
-                        continue
-                    # The first id has the segment again: the same windows, at another place.
-                elif h != last_h and total >= most:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found(segs, ids, starts)], names=names)
-                    segs, ids, starts, total = [], [], [], 0
-                last_h, last, n = h, seg, size(seg)
-                segs.append(seg)
-                ids.append(i)
-                starts.append(s)
-                total += len(seg)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in sure], names=names)
-        if segs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found(segs, ids, starts)], names=names)
-
-    return in_batches(rows.select("h", "id", "start", "seg"), run, "id long, start long, end long")
-
-
-def repeated(docs: DataFrame, key: str, text: str, spec: Spec, method: Method, deal: Callable[[DataFrame], DataFrame], most: int = 4 << 20, hot: int = HOT) -> DataFrame:
-    """(id, spans): units, as (start, end), of windows that also start in a row of a smaller id; overlapping and in any order.
-
-    `deal` partitions and sorts segments (h, lead, id, start, seg) so that an anchor's stay together.
-    Rows with a null id are left out.
+            for r in zip(*(batch.column(c).to_pylist() for c in ("lead", "h", "seg", "n", "id", "anchor", "piece")), strict=True):
+                if shard and r[1:3] == shard[-1][1:3] and r[6] == shard[-1][6]:
+                    continue  # cut out of two rows of one id
+                if total >= most:
+                    yield answers(shard)
+                    shard, total = [], 0
+                shard.append(r)
+                total += len(r[6]) + 64
+        if shard:
+            yield answers(shard)
+
+    return in_batches(rows, run, "h long, seg long, n long, digest binary, a int, b int, least long, open binary")
+
+
+def _often(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Anchors with many rows in a sample of documents: at most 65,536, those with the most."""
+    n = rows.count()
+    part = rows.sample(min(1.0, SAMPLE / n), 1) if n else rows
+    return _anchors(part, spec).groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") >= OFTEN).orderBy(F.desc("rows"), "h").limit(1 << 16).select("h", F.lit(True).alias("often"))
+
+
+def met(findings: DataFrame, rows: DataFrame, total: int) -> DataFrame:
+    """Rows joined with the findings of their piece. Pieces with over an 8192nd of all rows are fewer than 8192; theirs are broadcast."""
+    on = ["h", "seg"]
+    many = F.col("n") > max(OFTEN, total // 8192)
+    hot = findings.where(many)
+    out = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(on).distinct()), on, "left_anti")
+    return out.unionByName(rest.join(findings.where(~many), on))
+
+
+def repeated(docs: DataFrame, key: str, text: str, spec: Spec, method: Method, most: int = 4 << 20) -> DataFrame:
+    """(id, row, parts): for each row of `docs` (by its id and the hash of its text) the pieces with windows that a smaller id has.
+
+    An entry of `parts` is (h, digest, a, b): windows a to b of every piece with this anchor hash and digest.
+    Rows with a null id, or of fewer units than a window, are left out. Ids are integers.
     """
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    by, same = Window.partitionBy("h"), Window.partitionBy("h", "seg")
-    shared = _anchors(rows, spec).select("h", "seg", "id", F.min("id").over(by).alias("lo"), F.max("id").over(by).alias("hi"), F.count("*").over(by).alias("n"), F.min("seg").over(by).alias("s0"), F.max("seg").over(by).alias("s1"))
-    shared = shared.where("lo < hi").withColumn("first", F.min("id").over(same))
-    kind = F.when(F.col("n") > hot, SPLIT).when(F.col("id") > F.col("first"), SURE).when(F.col("s0") < F.col("s1"), TEXT)
-    shared = saved(shared.select("id", "h", "seg", kind.cast("byte").alias("kind")).where("kind is not null"), "anchors")
-    lists = shared.groupBy("id").agg(F.collect_list(F.struct("h", "seg", "kind")).alias("parts"))
-    cut = saved(_cut(rows.join(lists, "id").select("id", "text", "parts"), spec), "segments")
-    dropped(shared)
-    found = _searched(deal(cut.where("seg is not null").select("h", "lead", "id", "start", "seg")), spec, method, most)
-    spans = found.unionByName(cut.where("seg is null").select("id", "start", "end")).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = saved(spans, "spans")
+    integer_ids(docs, key)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text")).where("id is not null and text is not null")
+    often = F.broadcast(_often(rows, spec))
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("id", "row"), F.lit(1024))).otherwise(F.lit(-1))
+    by = Window.partitionBy("h", "salt")
+    shared = _anchors(rows, spec).join(often, "h", "left").withColumn("salt", salt)
+    shared = shared.withColumn("lo", F.min("id").over(by)).withColumn("hi", F.max("id").over(by)).where("often or lo < hi")
+    shared = saved(shared.select("h", "seg", "id", "row"), "anchors")
+    total = shared.count()
+    first = shared.groupBy("h", "seg").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("n"))
+    lists = first.groupBy("first.id", "first.row").agg(F.collect_list(F.struct("h", "seg", "n")).alias("parts"))
+    cut = saved(_cut(rows.join(lists, ["id", "row"]).select("id", "row", "text", "parts"), spec), "pieces")
+    dealt = cut.repartitionByRange("lead", "h", "seg").sortWithinPartitions("lead", "h", "seg", "id")
+    found = saved(_searched(dealt, spec, method, most), "found")
     dropped(cut)
-    return spans
+    wide = found.where("open is not null")
+    across = wide.groupBy("open").agg(F.min("least").alias("lowest"))
+    wide = wide.join(across, "open").select("h", "seg", "n", "digest", "a", "b", F.col("lowest").alias("least"))
+    findings = found.where("open is null").drop("open").unionByName(wide)
+    parts = met(findings, shared, total).where("least < id")
+    parts = parts.groupBy("id", "row").agg(F.collect_list(F.struct("h", "digest", "a", "b")).alias("parts"))
+    return parts
+
+
+#: The columns that removal adds, after the name of its units' number.
+REMOVED = "n_removed long, removed array<struct<start: long, end: long>>"
+#: The kept part of a text and how many units have gone, from the text and the runs to remove.
+Finish = Callable[[str | None, list[tuple[int, int]]], tuple[object, int]]
+
 
+def without(docs: DataFrame, key: str, text: str, spec: Spec, method: Method, finish: Finish, kept: str, **kw) -> DataFrame:
+    """Every row of `docs` with `kept`, the number of its units, `n_removed`, and `removed`: the maximal runs (start, end) of units that repeated windows cover.
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+    A row's own pieces are looked up among its `parts` by their digests.
+    """
+    names = ["kept", f"n_{spec.unit}", "n_removed", "removed"]
+    rest = docs.drop(*names)
+    parts = repeated(rest, key, text, spec, method, **kw).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("parts").alias("__parts"))
+    joined = rest.join(parts, (rest[key].cast("long") == F.col("__id")) & (F.xxhash64(rest[text]) == F.col("__row")), "left").drop("__id", "__row")
+    columns = rest.columns
+
+    def covered(batch: pa.RecordBatch, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]]]:
+        edge, entries = flat(batch.column("__parts"))
+        counts = [0] * len(texts)
+        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for rows, begin, units in gathered(texts, spec):
+            for row, shift, n in zip(rows.tolist(), begin.tolist(), np.diff(units.first).tolist(), strict=True):
+                counts[row] = shift + n
+            if not (edge[rows + 1] > edge[rows]).any():
+                continue
+            p = pieces_of(units, spec)
+            h = hashes_of(units, spec, p)[0]
+            at = np.searchsorted(p.block, np.arange(len(rows) + 1))
+            for k, row in enumerate(rows.tolist()):
+                if edge[row] == edge[row + 1]:
+                    continue
+                mine = entries.slice(edge[row], edge[row + 1] - edge[row])
+                known: dict[bytes, list[tuple[int, int]]] = {}
+                for mark, a, b in zip(*(mine.field(c).to_pylist() for c in ("digest", "a", "b")), strict=True):
+                    known.setdefault(mark, []).append((a, b))
+                own = chosen(p, np.flatnonzero(np.isin(h[at[k] : at[k + 1]], mine.field("h").to_numpy())) + at[k])
+                zero = int(units.first[k]) - int(begin[k])
+                for piece, start in zip(cut_out(units, spec, own), own.a.tolist(), strict=True):
+                    for a, b in known.get(digest(piece), ()):
+                        spans[row].append((start - zero + a, start - zero + b - 1 + spec.window))
+        return counts, [merged(s) for s in spans]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                texts = batch.column(text).to_pylist()
+                counts, spans = covered(batch, texts)
+                done = [finish(t, s) for t, s in zip(texts, spans, strict=True)]
+                made = [
+                    pa.array([d[0] for d in done], pa.string() if spec.unit == "words" else pa.binary()),
+                    pa.array(counts, pa.int64()),
+                    pa.array([d[1] for d in done], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                ]
+                yield pa.RecordBatch.from_arrays([*batch.select(columns).columns, *made], names=[*columns, *names])
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), f"kept {kept}, n_{spec.unit} long, {REMOVED}"])
+    return in_batches(joined, run, fields)
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching intervals as one, in order."""
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans or ()):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:

@@ -1,60 +1,49 @@
-"""Substring deduplication over words: windows of one length, searched in an FM-index of each group of segments."""
+"""Substring deduplication over words: documents' pieces are streamed through a compressed FM-index of each shard."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planforge.llm.common import in_batches, slices, table
+from planforge.llm.common import table
 from planforge.llm.fmindex import FMIndex
-from planforge.llm.repeats import Method, Spec, merged, repeated
-from planforge.llm.textarrays import words_of
+from planforge.llm.repeats import Method, Shard, Spec, without
 
 
 def matching(window: int) -> Method:
-    """Index the distinct segments and stream each of them through the index."""
-
-    def method(segs: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-        words = words_of(segs)
-        counts = words.counts()
-        symbols = np.unique(words.hashes(), return_inverse=True)[1] + 1
-        # Segments one after the other, a separator 0 behind each.
-        place = np.arange(len(symbols)) + words.owner()
-        text = np.zeros(len(symbols) + len(segs), np.int64)
-        text[place] = symbols
-        owner = np.repeat(np.arange(len(segs)), counts + 1)
-        index = FMIndex(text, window)
-        begin = np.concatenate([[0], np.cumsum(counts + 1)[:-1]])
+    """Index a shard's pieces and stream them through the index; where a match reaches the window, look up the smallest id of its interval."""
+
+    def method(shard: Shard) -> np.ndarray:
+        words = [p.split() for p in shard.pieces]
+        counts = np.array([len(w) for w in words], np.int64)
+        known: dict[bytes, int] = {}
+        symbols = np.fromiter((known.setdefault(w, len(known) + 1) for ws in words for w in ws), np.int64, int(counts.sum()))
+        # Pieces one after the other, a separator 0 behind each.
+        text = np.zeros(len(symbols) + len(counts), np.int64)
+        text[np.arange(len(symbols)) + np.repeat(np.arange(len(counts)), counts)] = symbols
+        begin = np.cumsum(counts + 1) - counts - 1
+        index = FMIndex(text, int(counts.max()))
         free = counts - window + 1
-        first = np.cumsum(free) - free
-        seg = np.repeat(np.arange(len(segs)), free)
-        ends = np.arange(int(free.sum())) - first[seg] + begin[seg] + window
-        hit, lo, hi = index.find(text, ends, window)
-        mask = np.zeros(len(ends), bool)
+        piece = np.repeat(np.arange(len(counts)), free)
+        step = np.arange(int(free.sum())) - np.repeat(np.cumsum(free) - free, free)
+        length, lo, hi = index.statistics(text, begin[piece] + step + window, step + window, window)
+        least = shard.ids[piece]  # a match that is unique occurs with the piece's own id
+        hit = np.flatnonzero(length >= window)
         if len(hit):
-            # Intervals of patterns of one length are equal or apart; the smallest id of each.
-            low, back = np.unique(lo, return_inverse=True)
-            high = np.zeros(len(low), np.int64)
-            high[back] = hi
-            edges = np.stack([low, high], 1).ravel()
-            by_suffix = np.append(ids[owner[index.order]], np.iinfo(np.int64).max)
-            smallest = np.minimum.reduceat(by_suffix, edges)[::2]
-            mask[hit] = smallest[back] < ids[seg[hit]]
-        return np.split(mask, first[1:])
+            # Intervals of patterns of one length are equal or apart.
+            low, back = np.unique(lo[hit], return_inverse=True)
+            size = np.zeros(len(low), np.int64)
+            size[back] = (hi - lo)[hit]
+            first = np.cumsum(size) - size
+            rows = np.repeat(low - first, size) + np.arange(int(size.sum()))
+            owner = np.searchsorted(begin, index.locate(rows), side="right") - 1
+            least[hit] = np.minimum.reduceat(shard.ids[owner], first)[back]
+        return least
 
     return method
 
 
-def spans_of(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """(id, spans) of words that repeat: see repeats.repeated()."""
-    spec = Spec("words", window, min(6, max(1, window // 2)))
-    return repeated(docs, key, text, spec, matching(window), lambda s: s.repartition("h").sortWithinPartitions("h", "seg", "id"), **kw)
-
-
 def removed(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """Add `kept`, `n_words`, `n_removed` and `removed` to every row.
 
@@ -62,37 +51,21 @@ def removed(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text
     text; each word of a window whose words also start in a row of a smaller id is removed, judged on
     the input. `kept` joins the remaining words by single spaces; `removed` lists the removed runs (start,
     end) of word numbers. A null or empty text has no words and keeps the empty string; a
-    text shorter than the window loses nothing; rows with a null id neither lose words nor count against others, nor do equal
-    ids. Columns of these names are replaced, all others stay.
+    text shorter than the window loses nothing. Rows with a null id neither lose words nor count against others;
+    rows of one id don't count against each other, whether their texts are equal or not. A text of any length is read
+    whole, in blocks. An empty table returns no rows. Columns of these names are replaced, all others stay.
     """
-    names = ["kept", "n_words", "n_removed", "removed"]
-    spans = spans_of(docs, window, key, text, **kw)
-    rest = docs.drop(*names)
-    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("spans").alias("__spans")), rest[key].cast("long") == F.col("__id"), "left").drop("__id")
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                columns: tuple[list, list, list, list] = ([], [], [], [])
-                for t, spans in zip(part.column(text).to_pylist(), part.column("__spans").to_pylist(), strict=True):
-                    words = t.encode().split() if t else []
-                    cut = merged(spans)
-                    kept, at = [], 0
-                    for a, b in cut:
-                        kept += words[at:a]
-                        at = b
-                    kept += words[at:]
-                    columns[0].append(b" ".join(kept).decode())
-                    columns[1].append(len(words))
-                    columns[2].append(len(words) - len(kept))
-                    columns[3].append([{"start": a, "end": b} for a, b in cut])
-                own = part.drop_columns("__spans")
-                made = [pa.array(columns[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], kind)]
-                yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*own.schema.names, *names])
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), "kept string, n_words long, n_removed long, removed array<struct<start: long, end: long>>"])
-    return in_batches(joined, run, fields)
+
+    def finish(t: str | None, spans: list[tuple[int, int]]) -> tuple[str, int]:
+        words = t.encode().split() if t else []
+        at, left = 0, []
+        for a, b in spans:
+            left += words[at:a]
+            at = b
+        left += words[at:]
+        return b" ".join(left).decode(), len(words) - len(left)
+
+    return without(docs, key, text, Spec("words", window, min(6, max(1, window // 2))), matching(window), finish, "string", **kw)
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:
@@ -104,8 +77,11 @@ def op3_substrings(spark, sf_dir: str) -> DataFrame:
 def drop_passages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: passages of 50 words or more that a document with a smaller doc_id has go; so does a document of which nothing is left.
 
-    Texts without such passages stay as they are, white space included.
+    Texts without such passages stay as they are, white space included; rows with a null doc_id or text stay too.
     """
     out = removed(docs, 50).where((F.col("n_removed") == 0) | (F.col("kept") != ""))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

@@ -1,116 +1,111 @@
 """Suffix-array deduplication over bytes.
 
-Suffixes are sampled: those at anchors travel, each with the windows around it. Sampled splitters
-range-partition them by their leading bytes, and a range never ends within equal leading bytes. Each bucket sorts the suffixes of its
-segments by a multikey sort whose characters are eight bytes, and compares neighbours.
+Suffixes are sampled: those at anchors travel, each with the windows around it. Sampled splitters range-partition them by
+their leading bytes. Each bucket sorts the suffixes of its pieces by multikey quicksort, whose characters are eight
+bytes, and takes the smallest id of each run of equal ones; runs at the edge of a bucket are compared across the boundary.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planforge.llm.common import in_batches, slices, table
-from planforge.llm.repeats import Method, Spec, eight, merged, repeated
+from planforge.llm.common import table
+from planforge.llm.repeats import Method, Shard, Spec, eight, without
 
 
-def multikey_groups(data: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
-    """Groups, in the order of suffixes, of the places from which `length` equal bytes follow; single ones are left out.
+def multikey_quicksort(data: np.ndarray, at: np.ndarray, length: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members (numbers of places in `at`) of the runs of `length` equal bytes, and where each run begins; single ones are left out.
 
-    In each round the groups that are still together are sorted by their next character (eight bytes)
-    and split where it differs, as multikey quicksort splits on one character after the other.
+    `group` numbers the places that may be equal; it is what partitioning has sorted already. In each round every
+    group that is left is split in three by the character of its middle member: less, equal and greater. Equal ones
+    go on with the next character, or form a run after the last.
     """
+    steps = [*range(0, length - 8, 8), max(0, length - 8)]
     chars = eight(data)
-    order = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
-    for k in [*range(0, length - 8, 8), max(0, length - 8)]:
+    if length < 8:
+        chars = chars >> np.uint64(8 * (8 - length))
+    order = np.argsort(group, kind="stable")
+    group = group[order]
+    new = np.ones(len(order), bool)
+    new[1:] = group[1:] != group[:-1]
+    begin = np.flatnonzero(new)
+    depth = np.zeros(len(begin), np.int64)
+    runs: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    offset = np.array(steps)
+    while len(order):
+        count = np.diff(np.append(begin, len(order)))
+        # Single members are done; so are groups that have no characters left.
+        over = depth == len(steps)
+        full = np.repeat(over & (count > 1), count)
+        runs.append(order[full])
+        sizes.append(count[over & (count > 1)])
+        live = ~over & (count > 1)
+        order, depth, count = order[np.repeat(live, count)], depth[live], count[live]
         if not len(order):
             break
-        char = chars[at[order] + k]
-        if length < 8:
-            char = char >> np.uint64(8 * (8 - length))
-        by = np.lexsort((char, group))
-        order, group, char = order[by], group[by], char[by]
-        new = np.ones(len(order), bool)
-        new[1:] = (group[1:] != group[:-1]) | (char[1:] != char[:-1])
-        single = new & np.append(new[1:], True)
-        group = np.cumsum(new)[~single]
-        order = order[~single]
-    edge = np.flatnonzero(np.diff(group, prepend=-1)) if len(order) else np.zeros(0, np.int64)
-    return np.split(order, edge[1:]) if len(order) else []
+        begin = np.cumsum(count) - count
+        own = np.repeat(np.arange(len(begin)), count)
+        char = chars[at[order] + offset[depth][own]]
+        pivot = char[begin + count // 2][own]
+        side = 1 + (char > pivot) - (char < pivot).astype(np.int64)
+        part = own * 3 + side
+        order = order[np.argsort(part, kind="stable")]
+        count = np.bincount(part, minlength=3 * len(begin))
+        depth = np.repeat(depth, 3)
+        depth[1::3] += 1
+        kept = count > 0
+        count, depth = count[kept], depth[kept]
+        begin = np.cumsum(count) - count
+    size = np.concatenate([np.zeros(0, np.int64), *sizes])
+    return np.concatenate([np.zeros(0, np.int64), *runs]), np.cumsum(size) - size
 
 
 def sorting(window: int) -> Method:
-    """Sort all suffixes of the segments that have a whole window, and take the smallest id of each run of equal ones."""
+    """Sort all suffixes of a bucket's pieces that have a whole window. Equal windows have equal anchors at equal places, so these part them first."""
 
-    def method(segs: list[bytes], ids: np.ndarray) -> list[np.ndarray]:
-        data = np.frombuffer(b"".join(segs), np.uint8)
-        size = np.array([len(s) for s in segs], np.int64)
+    def method(shard: Shard) -> np.ndarray:
+        data = np.frombuffer(b"".join(shard.pieces), np.uint8)
+        size = np.array([len(p) for p in shard.pieces], np.int64)
         free = size - window + 1
-        first = np.cumsum(free) - free
-        seg = np.repeat(np.arange(len(segs)), free)
-        at = np.arange(int(free.sum())) - first[seg] + (np.cumsum(size) - size)[seg]
-        mask = np.zeros(len(at), bool)
-        groups = multikey_groups(data, at, window)
-        if groups:
-            order = np.concatenate(groups)
-            count = np.array([len(g) for g in groups])
-            own = ids[seg[order]]
-            smallest = np.minimum.reduceat(own, np.cumsum(count) - count)
-            mask[order] = np.repeat(smallest, count) < own
-        return np.split(mask, first[1:])
+        piece = np.repeat(np.arange(len(size)), free)
+        step = np.arange(int(free.sum())) - np.repeat(np.cumsum(free) - free, free)
+        at = step + (np.cumsum(size) - size)[piece]
+        least = shard.ids[piece]
+        members, begin = multikey_quicksort(data, at, window, shard.group[piece] * window + shard.anchor[piece] - step)
+        if len(begin):
+            smallest = np.minimum.reduceat(least[members], begin)
+            least[members] = np.repeat(smallest, np.diff(np.append(begin, len(members))))
+        return least
 
     return method
 
 
-def spans_of(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """(id, spans) of bytes that repeat: see repeats.repeated()."""
-    if window < 16:
-        raise ValueError("a window has at least 16 bytes")
-    spec = Spec("bytes", window, min(16, window // 2))
-    return repeated(docs, key, text, spec, sorting(window), lambda s: s.repartitionByRange("lead").sortWithinPartitions("lead", "h", "seg", "id"), **kw)
-
-
 def removed(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """Add `kept` (binary), `n_bytes`, `n_removed` and `removed` to every row.
 
     Each byte of the UTF-8 text that a `window`-byte string covers which also starts in a row of a smaller id is
     removed, judged on the input. `removed` lists the maximal removed runs (start, end); `kept` may be cut within a character. A null or
-    empty text has no bytes; a text shorter than the window loses nothing; rows with a null id neither lose bytes nor
-    count against others, nor do equal ids. Columns of these names are replaced, all others stay.
+    empty text has no bytes; a text shorter than the window loses nothing. Rows with a null id neither lose bytes nor
+    count against others; rows of one id don't count against each other, whether their texts are equal or not. A text of any
+    length is read whole, in blocks. An empty table returns no rows. Columns of these names are replaced, all others stay.
     """
-    names = ["kept", "n_bytes", "n_removed", "removed"]
-    spans = spans_of(docs, window, key, text, **kw)
-    rest = docs.drop(*names)
-    joined = rest.join(spans.select(F.col("id").alias("__id"), F.col("spans").alias("__spans")), rest[key].cast("long") == F.col("__id"), "left").drop("__id")
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text):
-                columns: tuple[list, list, list, list] = ([], [], [], [])
-                for t, spans in zip(part.column(text).to_pylist(), part.column("__spans").to_pylist(), strict=True):
-                    raw = t.encode() if t else b""
-                    cut = merged(spans)
-                    kept, at = [], 0
-                    for a, b in cut:
-                        kept.append(raw[at:a])
-                        at = b
-                    kept.append(raw[at:])
-                    columns[0].append(b"".join(kept))
-                    columns[1].append(len(raw))
-                    columns[2].append(sum(b - a for a, b in cut))
-                    columns[3].append([{"start": a, "end": b} for a, b in cut])
-                own = part.drop_columns("__spans")
-                made = [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], kind)]
-                yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*own.schema.names, *names])
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema.fields), "kept binary, n_bytes long, n_removed long, removed array<struct<start: long, end: long>>"])
-    return in_batches(joined, run, fields)
+    if window < 16:
+        raise ValueError("a window has at least 16 bytes")
+
+    def finish(t: str | None, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
+        raw = t.encode() if t else b""
+        at, left = 0, []
+        for a, b in spans:
+            left.append(raw[at:a])
+            at = b
+        left.append(raw[at:])
+        kept = b"".join(left)
+        return kept, len(raw) - len(kept)
+
+    return without(docs, key, text, Spec("bytes", window, min(16, window // 2)), sorting(window), finish, "binary", **kw)
 
 
 def op6_suffixes(spark, sf_dir: str) -> DataFrame:

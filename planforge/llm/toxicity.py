@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from planforge.llm.common import bounded_sample, in_batches, slices, table
+from planforge.llm.common import bounded_sample, in_batches, kept, slices, table
 
 WORD = regex.compile(r"[\p{L}\p{N}'@$*]+")
 SIZES = (3, 4, 5)
+#: The log odds of a model that has seen texts of one label only, or none: nothing is taken for toxic.
+NOTHING_KNOWN = -4.0
 
 
 def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +65,9 @@ class Model:
     def __init__(self, texts: list[str], labels: list[int], buckets: int = 1 << 20, dim: int = 4, epochs: int = 12, rate: float = 5.0, batch: int = 64, min_texts: int = 5, least_steps: int = 450, seed: int = 1):
         self.buckets = buckets
         self.line = np.zeros(buckets, np.float32)
-        self.offset = 0.0
+        self.offset = NOTHING_KNOWN
         y = np.asarray(labels, np.int64)
-        if len(y):
+        if len(y) and 0 < y.sum() < len(y):
             epochs = max(epochs, -(-least_steps * batch // len(y)))
             self._fit(self._bags(texts), y, dim, epochs, rate, batch, min_texts, np.random.default_rng(seed))
         self.key = hashlib.sha256(self.line.tobytes() + str(self.offset).encode()).hexdigest()
@@ -162,14 +164,8 @@ class Values:
         return 1 / (1 + np.exp(-np.clip(means + self.model.offset, -50, 50)))
 
 
-_values: dict[str, Values] = {}
-
-
-def values_of(model: Model) -> Values:
-    if model.key not in _values:
-        _values.clear()
-        _values[model.key] = Values(model)
-    return _values[model.key]
+def values_of(model: Scorer) -> Values:
+    return kept(f"toxicity {model.key}", lambda: Values(model))
 
 
 class Scorer:
@@ -181,12 +177,12 @@ class Scorer:
     word_values = Model.word_values
 
 
-def train(rows: DataFrame, text: str, label: str, key: str, per_label: int = 1200) -> Model:
-    """Fit on at most `per_label` rows of each label 0 and 1, those with the smallest hash of `key`."""
+def train(rows: DataFrame, text: str, label: str, per_label: int = 1200) -> Model:
+    """Fit on at most `per_label` rows of bounded length of each label 0 and 1: see bounded_sample()."""
     texts, labels = [], []
     for value in (0, 1):
-        part = bounded_sample(rows.where(F.col(label) == value).select(key, text), key, per_label).collect()
-        texts += [r[1] for r in part]
+        part = bounded_sample(rows.where(F.col(label) == value).select(F.col(text).alias("text")), "text", per_label)
+        texts += [r["text"] for r in part]
         labels += [value] * len(part)
     return Model(texts, labels)
 
@@ -194,8 +190,9 @@ def train(rows: DataFrame, text: str, label: str, key: str, per_label: int = 120
 def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `score` (0 to 1) of each whole text.
 
-    A null text, or one without words, gets the score of the bias alone. A column `score`
-    of the input is replaced; all others stay.
+    A null text, or one without words, gets the score of the bias alone. A model that has
+    seen one label only, or no rows, gives each text the same low score. A column `score`
+    of the input is replaced; all others stay. Repeated rows are scored alike; a text of any length is read whole.
     """
     rest = df.drop("score")
     scorer = Scorer(model)
@@ -206,7 +203,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values.scores(part.column(text).to_pylist()))], names=[*part.schema.names, "score"])
 
-    return in_batches(rest, run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]))
+    return in_batches(rest, run, T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType())]), f"toxicity {scorer.key}")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
@@ -214,6 +211,6 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train(docs.join(labels, "doc_id"), "text", "toxic", "doc_id")
+    model = train(docs.join(labels, "doc_id"), "text", "toxic")
     out = score(docs, model)
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -5,11 +5,15 @@ import random
 import pytest
 
 from planforge.llm import substrings, suffixes
+from planforge.llm.repeats import NOWHERE, Spec
+
+
 
 SCHEMA = "doc_id long, text string, kept int, spans string"
 
 
 def corpus(seed):
+    """Shared passages, copies, equal ids with other texts, null ids, and a text of several blocks."""
     r = random.Random(seed)
     vocab = ["the", "a", "é", "x", "日本", "of", "and"] + [f"w{i}" for i in range(300)]
     words = lambda n: [r.choice(vocab) for _ in range(n)]
@@ -21,8 +25,11 @@ def corpus(seed):
             text += r.choice([" ", "\n\t", "  "]) + r.choice(passages) + " " + " ".join(words(r.randrange(4)))
         docs.append(text)
     docs += [docs[3], docs[4] + " tail", "no " * 60, "no " * 50, "", None, " \n ", docs[3], "word"]
+    docs.append(" ".join(words(900)) + " " + passages[0] + " " + "é" * 3000 + " " + docs[5])
     ids = r.sample(range(1000), len(docs))
-    return list(zip(ids, docs, strict=True)) + [(ids[0], docs[0]), (None, docs[3])]
+    rows = list(zip(ids, docs, strict=True)) + [(ids[0], docs[0]), (None, docs[3]), (None, None)]
+    own = " ".join(f"own{k}" for k in range(30))
+    return rows + [(ids[0], own), (ids[0], passages[1]), (-5, "x " + passages[2]), (-5, passages[2]), (ids[9], docs[9]), (ids[9], docs[9])]
 
 
 def brute(rows, width, units):
@@ -48,7 +55,7 @@ def runs(gone):
     return sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
 
 
-@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 50}, 3), (3, {"hot": 2, "most": 200}, 5)])
+@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 50}, 3), (3, {"most": 200}, 5)])
 def test_words(spark, seed, kw, batch):
     rows = corpus(seed)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -63,7 +70,7 @@ def test_words(spark, seed, kw, batch):
     assert sum(w[2] for w in want) > 100
 
 
-@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 300}, 3), (3, {"hot": 2}, 7)])
+@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 300}, 3), (3, {"most": 5000}, 7)])
 def test_bytes(spark, seed, kw, batch):
     rows = corpus(seed)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -82,36 +89,92 @@ def test_empty_table(spark):
     assert suffixes.removed(df, 50).count() == 0
 
 
+@pytest.mark.parametrize("tool", [substrings, suffixes])
+def test_the_method_finds_all(spark, monkeypatch, tool):
+    """Without its index or sort, nothing is removed: no repeat is settled beside it."""
+    import numpy as np
+
+    for name in ("matching", "sorting"):
+        monkeypatch.setattr(tool, name, lambda window: lambda shard: np.full(sum(len(p.split()) if tool is substrings else len(p) for p in shard.pieces) - (window - 1) * len(shard.pieces), NOWHERE), raising=False)
+    df = spark.createDataFrame([(i, t) for i, t in corpus(4)], "doc_id long, text string")
+    got = tool.removed(df, 13 if tool is substrings else 50)
+    assert got.count() == len(corpus(4))
+    assert got.where("n_removed > 0").count() == 0
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        substrings.removed(spark.createDataFrame([("a", "text")], "doc_id string, text string"), 13)
+
+
+@pytest.mark.parametrize("unit", ["words", "bytes"])
+def test_blocks_hold_each_window_once(unit):
+    from planforge.llm.repeats import gathered
+
+    r = random.Random(3)
+    spec = Spec(unit, 13, 6)
+    texts = [" ".join("ab"[r.randrange(2)] * r.choice([1, 2, 9, 300]) for _ in range(n)) for n in (0, 1, 12, 13, 200)]
+    for most in (20, 100, 1000, 10_000):
+        got = [[] for _ in texts]
+        for rows, begin, units in gathered(texts, spec, most):
+            for k, row in enumerate(rows.tolist()):
+                raw = [units.data[units.start[u] : units.end[u]].tobytes() for u in range(units.first[k], units.first[k + 1])]
+                got[row] += [(int(begin[k]) + i, raw[i : i + 13]) for i in range(len(raw) - 12)]
+        for text, windows in zip(texts, got, strict=True):
+            own = text.encode().split() if unit == "words" else [bytes([b]) for b in text.encode()]
+            assert windows == [(i, own[i : i + 13]) for i in range(len(own) - 12)]
+
+
+def test_anchors_do_not_depend_on_what_is_looked_at_together(monkeypatch):
+    from planforge.llm import repeats
+
+    spec = Spec("bytes", 50, 16)
+    units = repeats.units_of([bytes(random.Random(7).choices(range(97, 100), k=5000)), b"", b"x" * 300], spec)
+    whole = repeats.pieces_of(units, spec)
+    per_window = lambda p: [(k, a) for i, j, a in zip(p.a.tolist(), p.b.tolist(), p.anchor.tolist(), strict=True) for k in range(i, j + 1)]
+    monkeypatch.setattr(repeats, "TOGETHER", 70)
+    assert per_window(repeats.pieces_of(units, spec)) == per_window(whole)
+
+
 def test_fm_index():
     import numpy as np
 
     from planforge.llm.fmindex import FMIndex
 
     rng = np.random.default_rng(5)
-    text = np.append(rng.integers(1, 6, 400), 0)
+    text = np.append(rng.integers(1, 4, 400), 0)
+    text[[50, 51, 200]] = 0
     index = FMIndex(text, 8)
     for _ in range(200):
-        pattern = rng.integers(1, 7, rng.integers(1, 8))
+        pattern = rng.integers(1, 5, rng.integers(1, 8))
         lo, hi = np.zeros(1, np.int64), np.array([len(text)])
         for c in pattern[::-1]:
             if c > text.max():
                 hi = lo
                 break
             lo, hi = index.extend(np.array([c]), lo, hi)
-        places = sorted(index.order[lo[0] : hi[0]].tolist()) if hi[0] > lo[0] else []
+        places = sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) if hi[0] > lo[0] else []
         assert places == [k for k in range(len(text) - len(pattern) + 1) if (text[k : k + len(pattern)] == pattern).all()]
+    ends = np.arange(1, 51)
+    length, lo, hi = index.statistics(text, ends, ends, 3)
+    for e in ends.tolist():
+        twice = [n for n in range(1, e + 1) if sum((text[k : k + n] == text[e - n : e]).all() for k in range(len(text) - n + 1)) > 1]
+        assert length[e - 1] == max(twice, default=0)
+        assert (hi[e - 1] > lo[e - 1]) == (length[e - 1] >= 3)
 
 
-def test_multikey_groups():
+def test_multikey_quicksort():
     import numpy as np
 
-    from planforge.llm.suffixes import multikey_groups
+    from planforge.llm.suffixes import multikey_quicksort
 
     data = np.frombuffer(bytes(np.random.default_rng(1).integers(97, 99, 500).tolist()) + bytes(60), np.uint8)
     at = np.arange(480)
-    for length in (8, 11, 16, 20):
-        want = {}
-        for k in at.tolist():
-            want.setdefault(data[k : k + length].tobytes(), []).append(k)
-        got = [sorted(g.tolist()) for g in multikey_groups(data, at, length)]
-        assert got == [v for _, v in sorted(want.items()) if len(v) > 1]
+    for length in (4, 8, 11, 16, 20):
+        for group in (np.zeros(480, np.int64), data[:480].astype(np.int64)):
+            want = {}
+            for k in at.tolist():
+                want.setdefault(data[k : k + length].tobytes(), []).append(k)
+            members, begin = multikey_quicksort(data, at, length, group)
+            got = sorted(sorted(g.tolist()) for g in np.split(members, begin[1:]) if len(g))
+            assert got == sorted(v for v in want.values() if len(v) > 1)
