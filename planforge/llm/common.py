@@ -75,7 +75,7 @@ def saved(df: DataFrame, name: str, release: bool = True) -> DataFrame:
         time.sleep(0.2)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,10 +15,9 @@ def matching(window: int) -> Method:
     """Index a shard's pieces and stream them through the index; where a match reaches the window, look up the smallest id of its interval."""
 
     def method(shard: Shard) -> np.ndarray:
-        words = [p.split() for p in shard.pieces]
-        counts = np.array([len(w) for w in words], np.int64)
+        counts = shard.size
         known: dict[bytes, int] = {}
-        symbols = np.fromiter((known.setdefault(w, len(known) + 1) for ws in words for w in ws), np.int64, int(counts.sum()))
+        symbols = np.fromiter((known.setdefault(w, len(known) + 1) for ws in shard.words for w in ws), np.int64, int(counts.sum()))
         # Pieces one after the other, a separator 0 behind each.
         text = np.zeros(len(symbols) + len(counts), np.int64)
         text[np.arange(len(symbols)) + np.repeat(np.arange(len(counts)), counts)] = symbols
@@ -56,8 +55,8 @@ def removed(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text
     whole, in blocks. An empty table returns no rows. Columns of these names are replaced, all others stay.
     """
 
-    def finish(t: str | None, spans: list[tuple[int, int]]) -> tuple[str, int]:
-        words = t.encode().split() if t else []
+    def finish(raw: bytes, spans: list[tuple[int, int]]) -> tuple[str, int]:
+        words = raw.split()
         at, left = 0, []
         for a, b in spans:
             left += words[at:a]

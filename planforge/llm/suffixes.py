@@ -67,8 +67,8 @@ def sorting(window: int) -> Method:
     """Sort all suffixes of a bucket's pieces that have a whole window. Equal windows have equal anchors at equal places, so these part them first."""
 
     def method(shard: Shard) -> np.ndarray:
-        data = np.frombuffer(b"".join(shard.pieces), np.uint8)
-        size = np.array([len(p) for p in shard.pieces], np.int64)
+        data = np.frombuffer(b"".join(shard.pieces.to_pylist()), np.uint8)
+        size = shard.size
         free = size - window + 1
         piece = np.repeat(np.arange(len(size)), free)
         step = np.arange(int(free.sum())) - np.repeat(np.cumsum(free) - free, free)
@@ -95,8 +95,7 @@ def removed(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text
     if window < 16:
         raise ValueError("a window has at least 16 bytes")
 
-    def finish(t: str | None, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
-        raw = t.encode() if t else b""
+    def finish(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
         at, left = 0, []
         for a, b in spans:
             left.append(raw[at:a])

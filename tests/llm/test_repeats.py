@@ -55,7 +55,7 @@ def runs(gone):
     return sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
 
 
-@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 50}, 3), (3, {"most": 200}, 5)])
+@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 50, "giant": 300}, 3), (3, {"most": 200, "part": 1, "often_rows": 2}, 5)])
 def test_words(spark, seed, kw, batch):
     rows = corpus(seed)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -70,7 +70,7 @@ def test_words(spark, seed, kw, batch):
     assert sum(w[2] for w in want) > 100
 
 
-@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 300}, 3), (3, {"most": 5000}, 7)])
+@pytest.mark.parametrize(("seed", "kw", "batch"), [(1, {}, 10_000), (2, {"most": 300, "giant": 700}, 3), (3, {"most": 5000, "part": 1, "often_rows": 2}, 7)])
 def test_bytes(spark, seed, kw, batch):
     rows = corpus(seed)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
@@ -95,7 +95,7 @@ def test_the_method_finds_all(spark, monkeypatch, tool):
     import numpy as np
 
     for name in ("matching", "sorting"):
-        monkeypatch.setattr(tool, name, lambda window: lambda shard: np.full(sum(len(p.split()) if tool is substrings else len(p) for p in shard.pieces) - (window - 1) * len(shard.pieces), NOWHERE), raising=False)
+        monkeypatch.setattr(tool, name, lambda window: lambda shard: np.full(int((shard.size - window + 1).sum()), NOWHERE), raising=False)
     df = spark.createDataFrame([(i, t) for i, t in corpus(4)], "doc_id long, text string")
     got = tool.removed(df, 13 if tool is substrings else 50)
     assert got.count() == len(corpus(4))
@@ -116,7 +116,7 @@ def test_blocks_hold_each_window_once(unit):
     texts = [" ".join("ab"[r.randrange(2)] * r.choice([1, 2, 9, 300]) for _ in range(n)) for n in (0, 1, 12, 13, 200)]
     for most in (20, 100, 1000, 10_000):
         got = [[] for _ in texts]
-        for rows, begin, units in gathered(texts, spec, most):
+        for rows, begin, units in gathered([t.encode() for t in texts], spec, most):
             for k, row in enumerate(rows.tolist()):
                 raw = [units.data[units.start[u] : units.end[u]].tobytes() for u in range(units.first[k], units.first[k + 1])]
                 got[row] += [(int(begin[k]) + i, raw[i : i + 13]) for i in range(len(raw) - 12)]
@@ -125,15 +125,22 @@ def test_blocks_hold_each_window_once(unit):
             assert windows == [(i, own[i : i + 13]) for i in range(len(own) - 12)]
 
 
-def test_anchors_do_not_depend_on_what_is_looked_at_together(monkeypatch):
+@pytest.mark.parametrize("spec", [Spec("bytes", 50, 16), Spec("words", 13, 6), Spec("words", 3, 1)])
+def test_pieces(spec):
+    """Every window is in one piece, and its anchor is the first of its grams with the smallest hash."""
     from planforge.llm import repeats
 
-    spec = Spec("bytes", 50, 16)
-    units = repeats.units_of([bytes(random.Random(7).choices(range(97, 100), k=5000)), b"", b"x" * 300], spec)
-    whole = repeats.pieces_of(units, spec)
-    per_window = lambda p: [(k, a) for i, j, a in zip(p.a.tolist(), p.b.tolist(), p.anchor.tolist(), strict=True) for k in range(i, j + 1)]
-    monkeypatch.setattr(repeats, "TOGETHER", 70)
-    assert per_window(repeats.pieces_of(units, spec)) == per_window(whole)
+    r = random.Random(7)
+    blocks = [bytes(r.choices(b"abc ", k=n)) for n in (3000, 0, 10, 49, 50, 51, 700)] + [b"x" * 300, b"x " * 60]
+    units = repeats.units_of(blocks, spec)
+    p = repeats.pieces_of(units, spec)
+    got = [(int(block), k, int(z)) for block, i, j, z in zip(*p, strict=True) for k in range(i, j + 1)]
+    want = []
+    for t in range(len(blocks)):
+        for k in range(units.first[t], units.first[t + 1] - spec.window + 1):
+            hashes = (units.grams[k : k + spec.window - spec.gram + 1] >> repeats.PLACE).tolist()
+            want.append((t, k, k + hashes.index(min(hashes))))
+    assert got == want
 
 
 def test_fm_index():
