@@ -1,7 +1,8 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Every text becomes its set of word shingles (64-bit hashes), a signature of one byte for each of
-   HASHES minhashes, and a key of the whole set. Texts with equal sets are one class from here on.
+1. Every text becomes its set of word shingles (64-bit hashes of words' BLAKE2 digests), a signature of one byte for
+   each of HASHES minhashes, and a 128-bit digest of the whole set. Texts with equal sets are one class from here on,
+   and classes have numbers of their own, so that a repeated id joins nothing.
 2. Signatures are cut into bands; texts that agree on a band share a bucket.
 3. Candidates of a bucket are compared batch by batch of their signatures. A pair is dropped as soon as the
    posterior probability of a similarity at the threshold or above falls under the chosen miss probability;
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planforge.llm.common import dropped, in_batches, saved, slices, table
-from planforge.llm.textarrays import ASCII_LOWER, mixed, windows, words_of
+from planforge.llm.common import dropped, in_batches, integer_ids, kept, saved, slices, table
+from planforge.llm.textarrays import ASCII_LOWER, mixed, windows
 
 BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
@@ -34,10 +35,25 @@ BATCH = 36
 BLOCK = 1024
 
 
+class Hashes(dict):
+    """64-bit numbers of words, from their digests; `memory` bounds how many are remembered and changes speed alone."""
+
+    def __init__(self, memory: int = 200_000):
+        self.memory = memory
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.memory:
+            self.clear()
+        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; of its whole word sequence if that is shorter than a shingle."""
-    words = words_of([t.encode().translate(ASCII_LOWER) if t else b"" for t in texts])
-    hashes, first = words.hashes(), words.first.tolist()
+    words = [t.encode().translate(ASCII_LOWER).split() if t else [] for t in texts]
+    first = np.cumsum([0, *map(len, words)]).tolist()
+    known = kept("words", Hashes)
+    hashes = np.fromiter((known[w] for own in words for w in own), np.uint64, first[-1])
     rolled = windows(hashes, width)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
@@ -50,6 +66,10 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     return out
 
 
+def set_key(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 @cache
 def seeds() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(2024)
@@ -123,12 +143,12 @@ def fingerprints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 sets = shingle_sets(part.column("text").to_pylist(), width)
                 full = [s for s in sets if len(s)]
                 sigs = iter(signatures(full))
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                keys = [set_key(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary())], names=["id", "n", "set_key", "sig"]
                 )
 
-    return in_batches(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, n long, set_key binary, sig binary")
+    return in_batches(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), run, "id long, n long, set_key binary, sig binary", "words")
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -160,18 +180,21 @@ def likely(pairs: DataFrame, sets: DataFrame, similarity: float, miss: float) ->
     return in_batches(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(id, set, sig): the full sets of the given ids, none of which is empty, and their signatures."""
+def set_table(docs: DataFrame, classes: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, set, sig) of classes (id, first, set_key): the full sets, from texts of the class's first id, and their signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text").to_pylist(), width)
+                # A first id that repeats also brings texts of other classes.
+                own = [i for i, k in enumerate(part.column("set_key").to_pylist()) if len(sets[i]) and set_key(sets[i]) == k]
+                sets = [sets[i] for i in own]
                 sigs = [row.tobytes() for row in signatures(sets)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["id", "set", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(own, pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sigs, pa.binary())], names=["id", "set", "sig"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    return in_batches(rows, run, "id long, set binary, sig binary").dropDuplicates(["id"])
+    rows = docs.select(F.col(key).cast("long").alias("first"), F.col(text).alias("text")).join(classes, "first").select("id", "set_key", "text")
+    return in_batches(rows, run, "id long, set binary, sig binary", "words").dropDuplicates(["id"])
 
 
 def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -296,25 +319,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     component_id is the smallest id that links (100 * intersection >= percent * union of the shingle sets) lead to.
     A row without words has an empty set and is linked with nothing. A row with a null id is kept, is linked with
-    nothing and has no component_id. Other ids are integers, one for each different text; a repeated row is returned
-    as often as it comes. An empty table returns no rows.
+    nothing and has no component_id. Ids are integers; each row of a repeated id counts by its own text, and a repeated
+    row is returned as often as it comes. Whole texts count, however long. Other columns aren't returned, so none
+    can clash. An empty table returns no rows.
     """
+    integer_ids(docs, key)
     similarity = percent / 100
     prints = saved(fingerprints(docs, key, text, width), "prints")
-    classes = prints.where("n > 0 and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("least")).select("set_key", "least.id", "least.sig")
-    classes = saved(classes, "classes")
+    classes = prints.where("n > 0 and id is not null").groupBy("set_key").agg(F.min(F.struct("id", "sig")).alias("least"))
+    # Written with their numbers, which stay as they are from then on.
+    classes = saved(classes.select("set_key", F.monotonically_increasing_id().alias("id"), F.col("least.id").alias("first"), "least.sig"), "classes")
     spread = buckets(classes)
     sizes = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     members = saved(spread.join(sizes, "bucket"), "members")
-    sets = saved(set_table(docs, members.select("id").distinct(), key, text, width), "sets")
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi").select("id", "first", "set_key")
+    sets = saved(set_table(docs, wanted, key, text, width), "sets")
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = saved(verified(likely(stars, sets, similarity, miss), sets, percent), "links")
-    labels = components(links)
-    links = links.union(saved(crossing(members, labels, sets, similarity, percent, miss), "links"))
+    near = saved(verified(likely(stars, sets, similarity, miss), sets, percent), "links")
+    labels = components(near)
+    far = saved(crossing(members, labels, sets, similarity, percent, miss), "links")
     dropped(labels)
-    labels = components(links)
-    owner = saved(classes.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("label", "id").alias("component_id")), "owner")
-    for used in (classes, members, sets, labels):
+    labels = components(near.union(far))
+    named = classes.join(labels, "id", "left").select("set_key", "first", F.coalesce("label", "id").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    owner = saved(named.join(least, "label").select("set_key", "component_id"), "owner")
+    for used in (classes, members, sets, near, far, labels):
         dropped(used)
     out = prints.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_key")).alias("set_key")).join(owner, "set_key", "left")
     component = F.coalesce("component_id", "id")
@@ -327,6 +356,9 @@ def op5_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates over 5-word shingles, the smallest doc_id stays; so do all rows with a null doc_id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    """Pipeline stage: of each group of near-duplicates over 5-word shingles, the rows of the smallest doc_id stay; so do all rows with a null doc_id.
+
+    A doc_id stays if one of its rows does. An empty table, and one without any links, stay as they are.
+    """
+    kept_ids = near_duplicates(docs).where("kept").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(kept_ids, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))

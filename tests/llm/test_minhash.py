@@ -98,3 +98,17 @@ def test_bounds_lose_no_more_than_the_miss_probability():
     assert len(left) >= 20_000 * (1 - 5e-3)
     left, _ = minhash.survivors(a, (rng.random(a.shape) >= 0.4).astype(np.uint8), 0.8, 1e-3)
     assert not len(left)
+
+
+def test_repeated_ids_and_registered_query(spark, tmp_path):
+    """Rows of one id count by their own texts; component_id is the smallest id of a group."""
+    base = [f"w{k}" for k in range(40)]
+    other = [f"v{k}" for k in range(40)]
+    rows = [(7, " ".join(base)), (7, " ".join(other)), (9, " ".join(base + ["x"])), (3, " ".join(other + ["y"])), (5, "alone"), (None, " ".join(base)), (8, None), (7, " ".join(base))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((tuple(r) for r in minhash.op5_minhash(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(7, 37, 7, True), (7, 37, 3, False), (9, 38, 7, False), (3, 38, 3, True), (5, 1, 5, True), (None, 37, None, True), (8, 0, 8, True), (7, 37, 7, True)], key=repr)
+    empty = minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.count() == 0
+    with pytest.raises(TypeError, match="integer"):
+        minhash.near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
