@@ -45,40 +45,49 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item: str = "i
     An overlap is a window of `window` tokens (the whole item, if shorter) in which at most `mismatches`
     tokens differ (in a shorter item, in proportion); windows at one alignment are joined to the longest
     stretch from the first to the last token of them. `same` counts the equal tokens. Items of fewer than
-    SHORT tokens must occur whole and unchanged. Null and empty texts have no overlap. Rows with equal
-    texts are judged alike, each on its own.
+    SHORT tokens must occur whole and unchanged. Null and empty texts have no overlap, nor has an empty table.
+    Every row of a repeated id counts by its own text; an overlap that several of them have is listed once.
+    Whole texts count, however long. Other columns aren't read, so none can clash; `key` and `item` differ in name.
     """
     bank = items.select(item, tokens(F.col(text)).alias("i_toks")).where(F.size("i_toks") > 0)
     size = bank.agg(F.coalesce(F.sum(F.length(F.array_join("i_toks", " "))), F.lit(0))).first()[0]
-    hint = F.broadcast if size * len(MASKS) * 4 <= BROADCAST_BYTES else (lambda df: df)
+    small = size * len(MASKS) * 4 <= BROADCAST_BYTES
+    hint = F.broadcast if small else (lambda df: df)
     long = bank.where(F.size("i_toks") >= SHORT)
     index = seeds(long, [item], "i_toks", "j").where("seed is not null").select("seed", item, "j").distinct()
-    d = docs.select(key, tokens(F.col(text)).alias("d_toks"))
-    hits = seeds(d, [key], "d_toks", "i").join(hint(index), "seed")
+    d = docs.select(key, tokens(F.col(text)).alias("d_toks")).withColumn("d_hash", F.xxhash64("d_toks"))
+    spread = seeds(d, [key, "d_hash"], "d_toks", "i")
+    shift = (F.col("i") - F.col("j")).alias("shift")
+    if small:  # looked up where the tokens are
+        hits = spread.join(hint(index), "seed").select(key, "d_hash", item, shift, "d_toks")
+    else:  # only seeds are shuffled; the tokens of documents with hits are joined again
+        met = spread.select(key, "d_hash", "i", "seed").where("seed is not null").join(index, "seed").select(F.col(key).alias("__key"), F.col("d_hash").alias("__hash"), item, shift).distinct()
+        hits = d.join(met, F.col(key).eqNullSafe(F.col("__key")) & (F.col("d_hash") == F.col("__hash"))).select(key, "d_hash", item, "shift", "d_toks")
+    hits = hits.join(hint(long), item)
     # The document's tokens that an alignment can touch travel with the hit.
-    shift = F.col("i") - F.col("j")
-    hits = hits.select(key, item, shift.alias("shift"), "d_toks").join(hint(long), item)
     first = F.greatest(-F.col("shift"), F.lit(0))
     count = F.least(F.size("i_toks"), F.size("d_toks") - F.col("shift")) - first
-    near = hits.select(key, item, "shift", first.alias("first"), F.slice("d_toks", F.col("shift") + first + 1, count).alias("d_part"), F.slice("i_toks", first + 1, count).alias("i_part"), F.size("i_toks").alias("n"))
-    near = near.groupBy(key, item, "shift").agg(*(F.first(c).alias(c) for c in ("first", "d_part", "i_part", "n")))
-    # Running count of differing tokens: entry k is the number among the first k.
-    diff = F.aggregate(F.zip_with("d_part", "i_part", lambda a, b: (a != b).cast("int")), F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    near = hits.select(key, "d_hash", item, "shift", first.alias("first"), F.slice("d_toks", F.col("shift") + first + 1, count).alias("d_part"), F.slice("i_toks", first + 1, count).alias("i_part"), F.size("i_toks").alias("n"))
+    near = near.groupBy(key, "d_hash", item, "shift").agg(*(F.first(c).alias(c) for c in ("first", "d_part", "i_part", "n")))
+    places = F.transform(F.zip_with("d_part", "i_part", lambda a, b: a != b), lambda x, i: F.when(x, i))
     width = F.least(F.lit(window), F.col("n"))
-    allowed = F.floor(F.lit(mismatches) * width / window)
-    near = near.withColumn("diff", diff).withColumn("w", width).withColumn("allowed", allowed).where(F.size("d_part") >= F.col("w"))
-    good = F.filter(F.sequence(F.lit(0), F.size("d_part") - F.col("w")), lambda s: F.get("diff", s + F.col("w")) - F.get("diff", s) <= F.col("allowed"))
-    near = near.withColumn("good", good).where(F.size("good") > 0)
-    a, b = F.element_at("good", 1), F.element_at("good", -1) + F.col("w")
+    near = near.withColumn("p", F.filter(places, lambda x: x.isNotNull())).withColumn("m", F.size("d_part")).withColumn("w", width).withColumn("allowed", F.floor(F.lit(mismatches) * width / window).cast("int"))
+    # The first good window starts at 0 or behind a differing token, the last one ends before one or at the end.
+    start = F.transform(F.concat(F.array(F.lit(-1)), "p"), lambda x, k: F.when((x + 1 + F.col("w") <= F.col("m")) & F.coalesce(F.get("p", k + F.col("allowed")) >= x + 1 + F.col("w"), F.lit(True)), x + 1))
+    end = F.transform(F.concat("p", F.array("m")), lambda x, k: F.when((x >= F.col("w")) & F.coalesce(F.get("p", k - 1 - F.col("allowed")) < x - F.col("w"), F.lit(True)), x))
+    near = near.withColumn("a", F.array_min(start)).withColumn("b", F.array_max(end)).where("a is not null")
+    differ = F.size(F.filter("p", lambda x: (x >= F.col("a")) & (x < F.col("b"))))
     found = near.select(
-        key, item, (F.col("shift") + F.col("first") + a).cast("long").alias("doc_start"), (F.col("first") + a).cast("long").alias("item_start"), (b - a).cast("long").alias("length"), (b - a - F.get("diff", b) + F.get("diff", a)).cast("long").alias("same")
+        key, item, (F.col("shift") + F.col("first") + F.col("a")).cast("long").alias("doc_start"), (F.col("first") + F.col("a")).cast("long").alias("item_start"), (F.col("b") - F.col("a")).cast("long").alias("length"), (F.col("b") - F.col("a") - differ).cast("long").alias("same")
     )
     tiny = bank.where(F.size("i_toks") < SHORT)
-    whole = d.select(key, F.explode(F.transform(F.array_distinct("d_toks"), lambda t: t)).alias("t"), "d_toks").join(hint(tiny.withColumn("t", F.get("i_toks", F.lit(0)))), "t")
+    if not tiny.head(1):
+        return found.distinct()
+    whole = d.select(key, F.explode(F.array_distinct("d_toks")).alias("t"), "d_toks").join(hint(tiny.withColumn("t", F.get("i_toks", F.lit(0)))), "t")
     at = F.filter(F.sequence(F.lit(0), F.size("d_toks") - F.size("i_toks")), lambda s: F.slice("d_toks", s + 1, F.size("i_toks")) == F.col("i_toks"))
     whole = whole.where(F.size("d_toks") >= F.size("i_toks")).select(key, item, F.size("i_toks").cast("long").alias("length"), F.explode(at).alias("s"))
     whole = whole.select(key, item, F.col("s").cast("long").alias("doc_start"), F.lit(0).cast("long").alias("item_start"), "length", F.col("length").alias("same"))
-    return found.unionByName(whole) if tiny.head(1) else found
+    return found.unionByName(whole).distinct()
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -87,6 +96,7 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_leaked(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that overlap a test item go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that overlap a test item go, with all rows of their doc_id; rows without a doc_id by themselves."""
+    rows = docs.withColumn("__key", F.struct(F.col("doc_id").alias("id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("row")))
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), key="__key").select(F.col("__key").alias("__found")).distinct()
+    return rows.join(found, F.col("__key").eqNullSafe(F.col("__found")), "left_anti").select(*docs.columns)
