@@ -47,7 +47,7 @@ def corpus():
 def test_mined_rules(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
-    rules = U.mine(df).collect()
+    rules = U.mine(df, least=30).collect()
     # All token sets of up to three, counted one by one.
     tokens = {i: (f"scheme=http", f"host0={urlsplit(u).hostname.split('.')[1]}", f"host1={urlsplit(u).hostname.split('.')[0]}", f"path0={u.split('/')[3]}", "path1=0") for i, u, _ in rows}  # noqa: F541
     seen, bad = Counter(), Counter()
@@ -60,8 +60,8 @@ def test_mined_rules(spark):
     want = {c for c in good if not any(set(o) < set(c) for o in good)}
     assert {tuple(r.tokens) for r in rules} == want
     assert want == {("host1=spam", "path0=buy")}
-    found = {r.page_id for r in U.matching(df, U.mine(df), "page_id").collect()}
-    assert found == {i for i in tokens if any(set(c) <= set(tokens[i]) for c in want)}
+    found = {r.url for r in U.matching(df, U.mine(df, least=30)).collect()}
+    assert found == {u for i, u, _ in rows if any(set(c) <= set(tokens[i]) for c in want)}
 
 
 def test_rules_of_four_tokens(spark):
@@ -70,7 +70,7 @@ def test_rules_of_four_tokens(spark):
     df = spark.createDataFrame([(n, u, u == urls[0]) for n, u in enumerate(urls * 40)], "page_id long, url string, bad boolean")
     rules = U.mine(df)
     assert [(r.tokens, r.support, r.confidence) for r in rules.collect()] == [(["host0=spam", "key=id", "path0=buy", "scheme=http"], 40, 1.0)]
-    assert {r.page_id % len(urls) for r in U.matching(df, rules, "page_id").collect()} == {0}
+    assert {r.url for r in U.matching(df, rules).collect()} == {urls[0]}
 
 
 def test_file_endings(spark):
@@ -80,7 +80,7 @@ def test_file_endings(spark):
     assert got == {u: [e] if e else [] for u, e in want.items()}
     urls = [f"http://h{n % 7}/{'ab'[n % 2]}{chr(97 + n % 25)}/{chr(97 + n % 23)}tool.{'exe' if n % 3 == 0 else 'html'}" for n in range(300)]
     pages = spark.createDataFrame([(n, u, n % 3 == 0) for n, u in enumerate(urls)], "page_id long, url string, bad boolean")
-    rules = U.mine(pages)
+    rules = U.mine(pages, least=30)
     assert [r.tokens for r in rules.collect()] == [["ending=exe"]]
     verdicts = {r.page_id: r.verdict for r in U.judge(pages, rules).collect()}
     assert verdicts == {n: "block" if n % 3 == 0 else "allow" for n in range(300)}
@@ -90,3 +90,31 @@ def test_no_labels(spark):
     df = spark.createDataFrame([], "page_id long, url string, bad boolean")
     assert U.mine(df).count() == 0
     assert U.judge(df.drop("bad"), U.mine(df)).count() == 0
+
+
+def test_long_urls_and_repeated_ids(spark):
+    """A campaign of long URLs is mined in bounded time; a repeated id is judged by each row's own url."""
+    long = [f"http://x.org/{'/'.join(chr(97 + k) * 3 for k in range(22) if k != n % 22)}?{'&'.join(f'q{k}=1' for k in range(30))}" for n in range(200)]
+    rows = [(n, u, n % 2 == 0) for n, u in enumerate(long)] + [(n, f"http://y.com/{n}", False) for n in range(300, 400)]
+    df = spark.createDataFrame(rows, "page_id long, url string, bad boolean")
+    assert max(len(r.t) for r in df.select(U.tokens_of(F.col("url")).alias("t")).collect()) <= 3 * U.OWN + 5
+    U.mine(df).count()
+    pages = spark.createDataFrame([(1, "http://spam.com/buy/1", "a"), (1, "http://good.com/buy/1", "b"), (1, "http://spam.com/buy/1", "a"), (None, "http://spam.com/buy/2", "c")], "page_id long, url string, verdict string")
+    rules = U.mine(spark.createDataFrame(corpus(), "page_id long, url string, bad boolean"), least=30)
+    got = sorted((r.page_id or 0, r.url, r.verdict) for r in U.judge(pages, rules).collect())
+    assert got == [(0, "http://spam.com/buy/2", "block"), (1, "http://good.com/buy/1", "allow"), (1, "http://spam.com/buy/1", "block"), (1, "http://spam.com/buy/1", "block")]
+
+
+def test_registered_query(spark):
+    """The fixed rules hold for every page of the table, and mined rules decide some of the others."""
+    sf = "/root/testdata/sf0.1"
+    got = U.op4_url_filter(spark, sf).collect()
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    assert sorted(r.page_id for r in got) == sorted(pages)
+    for r in got:
+        parts = urlsplit(pages[r.page_id])
+        assert (r.host, r.path) == (parts.netloc.lower(), parts.path)
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in U.RULES if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+        assert r.rule == (max(fits)[1] if fits else None)
+        assert not fits or r.verdict == max(fits)[2]
+    assert any(r.rule is None and r.verdict == "block" for r in got)
