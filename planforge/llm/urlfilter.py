@@ -108,16 +108,20 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_support: f
     single = rows.select(F.explode("t").alias("token"), "b").groupBy("token").agg(F.count("*").alias("seen"), F.count_if("b").alias("support")).where(F.col("support") >= need)
     single = saved(single.withColumn("sure", F.col("support") / F.col("seen") >= min_confidence), "tokens")
     sure = single.where("sure").select(F.array("token").alias("tokens"), F.col("token").alias("probe"), "support", (F.col("support") / F.col("seen")).alias("confidence"))
-    # The tokens that may be part of longer rules; there are at most 1 / min_support times a URL's tokens of them.
-    usable = F.broadcast(single.where("not sure").select("token"))
-    items = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "b", F.explode("t").alias("token")).join(usable, "token").groupBy("row", "b").agg(F.collect_list("token").alias("items"))
+    # The tokens that may be part of longer rules; there are at most 1 / min_support times a URL's tokens of them. One
+    # that all rows have changes no count.
+    usable = F.broadcast(single.where(~F.col("sure") & (F.col("seen") < n)).select("token", "seen"))
+    items = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "b", F.explode("t").alias("token")).join(usable.select("token"), "token").groupBy("row", "b").agg(F.collect_list("token").alias("items"))
     items = saved(items.where(F.size("items") > 1).select("items", "b"), "transactions")
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, need / max(1, n))).fit(items.where("b").select("items").unionByName(_padding(spark, items, n))).freqItemsets
     sets = saved(sets.where(F.size("items") > 1).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("support")), "sets")
     # How often each set is seen in all rows: looked up by its rarest token.
-    probe = sets.select("tokens", "support", F.explode("tokens").alias("token")).join(single.select("token", "seen"), "token").groupBy("tokens", "support").agg(F.min_by("token", F.struct("seen", "token")).alias("probe"))
-    seen = items.select("items", F.explode("items").alias("probe")).join(probe, "probe").where(F.size(F.array_except("tokens", "items")) == 0).groupBy("tokens", "support", "probe").agg(F.count("*").alias("seen"))
+    probe = sets.select("tokens", "support", F.explode("tokens").alias("token")).join(F.broadcast(usable), "token").groupBy("tokens", "support").agg(F.min_by("token", F.struct("seen", "token")).alias("probe"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # small in bytes, but each pair takes time
+    spread = items.select("items", F.explode("items").alias("probe")).repartition(parts, "probe")
+    seen = spread.join(probe.repartition(parts, "probe").hint("merge"), "probe").where(F.size(F.array_except("tokens", "items")) == 0).groupBy("tokens", "support", "probe").agg(F.count("*").alias("seen"))
     rules = seen.withColumn("confidence", F.col("support") / F.col("seen")).where(F.col("confidence") >= min_confidence).drop("seen")
+    rules = saved(rules, "rules")
     # Prune: a rule whose tokens hold those of a rule with one token less adds nothing.
     shorter = rules.select(F.col("tokens").alias("inner")).distinct()
     over = rules.select("tokens", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("inner")).join(shorter, "inner").select("tokens").distinct()
