@@ -25,7 +25,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token ids of every document that the stages keep: doc_id, lang, source, n_tokens and ids."""
+    """Every document that the stages keep: doc_id, text (as left), lang, source, n_tokens, ids_le (packed 32-bit ids) and round_trip (whether they decode to the text)."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)
