@@ -1,6 +1,6 @@
 """The registered page queries, each with the SQL that gives the same rows.
 
-Where there is no SQL (ordered folds, components, the whole pipeline), tests hold the query against a
+Where there is no SQL (the merge of title tokens, components, the whole pipeline), tests hold the query against a
 brute-force version.
 """
 
@@ -285,12 +285,21 @@ def page_metrics(p: Pages) -> DataFrame:
 # Folds
 
 
-@query()
+NMS = """with recursive o as (select page_id, block_id, x0, y0, x1, y1, row_number() over (partition by page_id order by (x1-x0)*(y1-y0) desc, block_id) as r from blocks),
+t as (select page_id, r, [{'id': block_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'took': []::int[]}] as kept from o where r = 1
+ union all select page_id, r, case when spot is null or spot = 0 then list_append(kept, {'id': block_id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'took': []::int[]})
+  else list_transform(kept, lambda k, i: case when i = spot then {'id': k.id, 'x0': least(k.x0, x0), 'y0': least(k.y0, y0), 'x1': greatest(k.x1, x1), 'y1': greatest(k.y1, y1), 'took': list_append(k.took, block_id)} else k end) end
+ from (select o.*, kept, list_position(list_transform(kept, lambda k: greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0)) / ((o.x1-o.x0)*(o.y1-o.y0) + 1e-6) > 0.4), true) as spot
+  from t join o on o.page_id = t.page_id and o.r = t.r + 1)),
+kept as (select page_id, unnest(kept) as k, unnest(range(len(kept))) as keep from (select page_id, arg_max(kept, r) as kept from t group by page_id))"""
+
+
+@query(f"{NMS} select page_id, keep, cast(k.id as bigint) as block_id, k.x0 as x0, k.y0 as y0, k.x1 as x1, k.y1 as y1 from kept")
 def nms_keep(p: Pages) -> DataFrame:
     return G.nms_keep(p.blocks).drop("took")
 
 
-@query()
+@query(f"{NMS} select page_id, cast(k.id as bigint) as into_id, cast(unnest(k.took) as bigint) as block_id from kept")
 def nms_drops(p: Pages) -> DataFrame:
     return G.nms_drops(p.blocks)
 
@@ -377,6 +386,17 @@ ARGMIN = f"""select page_id, title_id, block_id from (select v.page_id, v.title_
  from ({VALID}) v join blocks b on b.page_id = v.page_id and cx_px/4 between x0-10 and x1+10 and cy_px/4 between y0-5 and y1+10) where r = 1"""
 
 
+ORACLES["block_dedup"] = f"""with recursive a as ({ARGMIN}), n as (select page_id, block_id, list(title_id order by title_id) as titles from a group by all),
+o as (select b.page_id, x0, y0, x1, y1, coalesce(titles, []) as titles, row_number() over (partition by b.page_id order by b.block_id) as r from blocks b left join n on n.page_id = b.page_id and n.block_id = b.block_id),
+t as (select page_id, r, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'titles': titles}}] as kept from o where r = 1
+ union all select page_id, r, case when spot is null or spot = 0 then list_append(kept, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'titles': titles}})
+  else list_transform(kept, lambda k, i: case when i = spot then {{'x0': least(k.x0, x0), 'y0': least(k.y0, y0), 'x1': greatest(k.x1, x1), 'y1': greatest(k.y1, y1), 'titles': list_concat(k.titles, list_filter(titles, lambda e: not list_contains(k.titles, e)))}} else k end) end
+ from (select o.*, kept, list_position(list_transform(kept, lambda k: greatest(0, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0, least(k.y1, o.y1) - greatest(k.y0, o.y0)) / (least((k.x1-k.x0)*(k.y1-k.y0), (o.x1-o.x0)*(o.y1-o.y0)) + 1e-6) > 0.6), true) as spot
+  from t join o on o.page_id = t.page_id and o.r = t.r + 1)),
+kept as (select page_id, unnest(kept) as k, unnest(range(len(kept))) as idx from (select page_id, arg_max(kept, r) as kept from t group by page_id))
+select page_id, idx, k.x0 as x0, k.y0 as y0, k.x1 as x1, k.y1 as y1, array_to_string(k.titles, '|') as titles from kept"""
+
+
 @query(f"select page_id, cast(title_id as bigint) as title_id, cast(block_id as bigint) as block_id from ({ARGMIN})")
 def argmin_assign(p: Pages) -> DataFrame:
     return J.argmin_assign(p.blocks, valid(p))
@@ -450,17 +470,50 @@ def content_trim(p: Pages) -> DataFrame:
     return I.content_trim(p.blocks, p.page_dims, p.ink_runs, 60, 20, bottom=True)
 
 
-@query()
+def joined_runs(runs: str, gap: int = 0) -> str:
+    """Runs of a scanline at most `gap` apart as one, in SQL."""
+    return f"""select page_id, y, min(x_start) as x_start, max(x_end) as x_end from (select *, sum(fresh) over (partition by page_id, y order by x_start, x_end rows unbounded preceding) as island from
+ (select *, coalesce(x_start - max(x_end) over (partition by page_id, y order by x_start, x_end rows between unbounded preceding and 1 preceding) > {gap}, false)::int as fresh from {runs})) group by page_id, y, island"""
+
+
+PIXELS = """select b.page_id, block_id, x0, y0, x1, y1, greatest(0, trunc(x0*4)::int) as px0, greatest(0, trunc(y0*4)::int) as py0,
+ least(trunc(page_w*4)::int, trunc(x1*4)::int) as px1, least(trunc(page_h*4)::int, trunc(y1*4)::int) as py1 from {0} b join page_dims d on d.page_id = b.page_id"""
+OWN_BLOCK = "partition by page_id, block_id"
+
+
+@query(f"""with r as ({PIXELS.format("blocks")}), big as (select * from r where px1 - px0 >= 100 and py1 - py0 >= 20),
+i as (select distinct b.page_id, b.block_id, greatest(x_start, px0) - px0 as a, least(x_end, px1) - px0 as e, px1 - px0 as width from big b join ink_runs k on k.page_id = b.page_id and y >= py0 and y < py1 and x_start < px1 and x_end > px0),
+n as (select *, (a - coalesce(max(e) over ({OWN_BLOCK} order by a, e rows between unbounded preceding and 1 preceding), 0) >= 3)::int as new from i),
+g as (select *, sum(new) over ({OWN_BLOCK} order by a, e rows unbounded preceding) as island from n),
+s as (select page_id, block_id, case when island = 0 then 0 else min(a) end as a, max(e) as e, max(width) as width from g group by page_id, block_id, island),
+q as (select *, e = max(e) over ({OWN_BLOCK}) and width - max(e) over ({OWN_BLOCK}) < 3 as to_end, count(*) over ({OWN_BLOCK}) as parts from s),
+v as (select q.page_id, q.block_id, x0 + a/4.0::double as nx0, y0, case when to_end then x1 else x0 + e/4.0::double end as nx1, y1, not (parts = 1 and a = 0 and to_end) as was_split from q join big b on b.page_id = q.page_id and b.block_id = q.block_id)
+select page_id, cast(block_id as bigint) as block_id, row_number() over ({OWN_BLOCK} order by nx0) - 1 as part, nx0 as x0, y0, nx1 as x1, y1, was_split from v where nx1 - nx0 > 30 or not was_split
+union all select page_id, block_id, 0, x0, y0, x1, y1, false from r where px1 - px0 < 100 or py1 - py0 < 20""")
 def x_split(p: Pages) -> DataFrame:
     return I.x_split(p.blocks, p.page_dims, p.ink_runs)
 
 
-@query()
+@query(f"""with r as ({joined_runs("ink_runs")}),
+t as (select distinct v.page_id, greatest(0, trunc(left_pt*4)::int - 8) as bx0, greatest(0, trunc(bottom_px - h_px)::int - 8) as by0, least(trunc(page_w*4)::int, trunc(right_pt*4)::int + 8) as bx1, least(trunc(page_h*4)::int, trunc(bottom_px)::int + 8) as by1
+ from ({VALID}) v join page_dims d on d.page_id = v.page_id),
+h as (select r.*, bx0, bx1 from r join t on t.page_id = r.page_id and y >= by0 and y < by1 and bx0 < x_end and bx1 > x_start and bx0 < bx1),
+s as (select page_id, y, x_start, x_end, x_start as spot from r union select page_id, y, x_start, x_end, bx1 from h where bx1 < x_end),
+k as (select s.* from s anti join h on h.page_id = s.page_id and h.y = s.y and h.x_start = s.x_start and bx0 <= spot and spot < bx1)
+select k.page_id, cast(k.y as bigint) as y, cast(spot as bigint) as x_start, cast(least(k.x_end, coalesce(min(bx0), k.x_end)) as bigint) as x_end
+from k left join h on h.page_id = k.page_id and h.y = k.y and h.x_start = k.x_start and bx0 > spot group by k.page_id, k.y, k.x_start, k.x_end, spot""")
 def title_mask(p: Pages) -> DataFrame:
     return I.title_mask(p.ink_runs, valid(p), p.page_dims)
 
 
-@query()
+GROWN = """(select distinct page_id, y + cast(dy as int) as y, greatest(x_start-14, 0) as x_start, least(x_end+14, 4800) as x_end from ink_runs cross join (select unnest(range(-14, 15)) as dy) where y + dy >= 0 and y + dy < 3200)"""
+
+
+@query(f"""with b as (select page_id, block_id, x0, y0 + 2.5::double as y0, x1, y1 from blocks), r as ({PIXELS.format("b")}),
+w as (select distinct r.page_id, block_id, py0, y from r join {GROWN} k on k.page_id = r.page_id and px1 > px0 and y <= py0 and y > py0 - 200 and x_start < px1 and x_end > px0),
+g as (select *, py0 - y - row_number() over ({OWN_BLOCK} order by y desc) + 1 as gap from w),
+u as (select page_id, block_id, greatest(min(y) - 1, 0) as high from g where gap = 0 group by page_id, block_id)
+select b.page_id, cast(b.block_id as bigint) as block_id, x0, case when high is not null and y0*4 >= 1 then high/4.0::double else y0 end as y0, x1, y1 from b left join u on u.page_id = b.page_id and u.block_id = b.block_id""")
 def top_recovery(p: Pages) -> DataFrame:
     down = p.blocks.withColumn("y0", F.col("y0") + 2.5)
     return I.top_recovery(down, p.page_dims, I.dilate(p.ink_runs, p.page_dims))
@@ -481,7 +534,8 @@ def dilate(p: Pages) -> DataFrame:
     return I.dilate(p.ink_runs, p.page_dims)
 
 
-@query()
+@query(f"""select page_id, cast(y as bigint) as y, cast(x_start as bigint) as x_start, cast(x_end as bigint) as x_end
+from ({joined_runs("ink_runs", 100)}) join page_dims using (page_id) where x_end - x_start >= floor(page_w*4*5/100)""")
 def long_lines(p: Pages) -> DataFrame:
     """At 5 percent of the page's width, as no run of the sample is longer."""
     from planforge.config import Config
