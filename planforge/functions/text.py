@@ -85,3 +85,24 @@ def id_list(answer: Column) -> Column:
     last = F.length(answer) - F.locate("]", F.reverse(answer)) + 1
     inside = F.when((first > 0) & (F.locate("]", answer) > 0) & (last > first), F.substring(answer, first, last - first + 1))
     return F.from_json(inside, "array<int>")
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A non-negative number with so many decimals, at most six, rounded from its exact binary value; a tie goes to the even digit.
+
+    format_string rounds the shortest decimal form, ties upward. Here 64 binary digits of the fraction are multiplied in
+    two halves, so each product fits a long.
+    """
+    word, mask, scale = 2.0**32, (1 << 32) - 1, 10**digits
+    whole = F.floor(x)
+    high = F.floor((x - whole) * word)
+    rest = ((x - whole) * word - high) * word
+    low = F.floor(rest)
+    bottom = low * scale
+    top = high * scale + F.shiftright(bottom, 32)
+    n, left = F.shiftright(top, 32), top.bitwiseAND(F.lit(mask))
+    below = bottom.bitwiseAND(F.lit(mask)).cast("double") + (rest - low)
+    half = F.lit(1 << 31)
+    up = (left > half) | ((left == half) & ((below > 0) | (n % 2 == 1)))
+    n = n + up.cast("long")
+    return F.concat((whole + F.floor(n / scale)).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))

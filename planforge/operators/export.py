@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planforge.functions.rect import Rect
+from planforge.functions.text import fixed
 
 
 BEAMS = "array<struct<parent_id:int,parent_bbox:array<double>,titles:array<struct<text:string,bbox:array<double>>>,single_spans:array<array<double>>>>"
@@ -33,7 +34,7 @@ def yolo_labels(blocks: DataFrame, page_dims: DataFrame, class_id: int = 0) -> D
 
 
 def label_lines(labels: DataFrame) -> DataFrame:
-    return labels.withColumn("line", F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "w", "h"))
+    return labels.withColumn("line", F.concat_ws(" ", F.col("class_id").cast("string"), *(fixed(F.col(c), 6) for c in ("cx", "cy", "w", "h"))))
 
 
 def label_files(labels: DataFrame, page_dims: DataFrame) -> DataFrame:
@@ -65,7 +66,8 @@ def beam_export(blocks: DataFrame, bridge: DataFrame, titles: DataFrame, page_di
 def title_summary(blocks: DataFrame, bridge: DataFrame, titles: DataFrame) -> DataFrame:
     """A line for each block: its number, its count of titles, and each as `text (X=…, Y=…)`."""
     t = bridge.join(titles.select("page_id", "title_id", "text", "cx_px", "cy_px"), ["page_id", "title_id"])
-    line = F.format_string("%s (X=%.1f, Y=%.1f)", F.col("text"), F.col("cx_px"), F.col("cy_px"))
+    one = lambda c: F.when(F.col(c) < 0, F.concat(F.lit("-"), fixed(-F.col(c), 1))).otherwise(fixed(F.col(c), 1))
+    line = F.concat(F.coalesce("text", F.lit("null")), F.lit(" (X="), one("cx_px"), F.lit(", Y="), one("cy_px"), F.lit(")"))
     g = t.groupBy("page_id", "block_id").agg(F.count("*").alias("n"), F.concat_ws("; ", F.transform(F.array_sort(F.collect_list(F.struct("title_id", line.alias("line")))), lambda x: x["line"])).alias("titles"))
     return blocks.select("page_id", "block_id").join(g, ["page_id", "block_id"], "left").select("page_id", "block_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("titles", F.lit("")).alias("titles"))
 

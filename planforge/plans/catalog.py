@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from planforge.config import Config
 from planforge.functions import text as X
 from planforge.functions.rect import Rect
 from planforge.operators import blocks as B
@@ -190,13 +191,9 @@ def yolo_labels(p: Pages) -> DataFrame:
     return E.yolo_labels(p.blocks, p.page_dims)
 
 
-@query(f"with l as ({YOLO}) select page_id, count(*) as n, min(parent_id) as lowest, max(parent_id) as highest from l group by page_id")
+@query(f"with l as ({YOLO}) select page_id, coalesce(string_agg(printf('%d %.6f %.6f %.6f %.6f', class_id, cx, cy, w, h), chr(10) order by parent_id), '') as content from page_dims left join l using (page_id) group by page_id")
 def label_files(p: Pages) -> DataFrame:
-    """The files' lines are parsed again, as both engines print numbers their own way."""
-    files = E.label_files(E.yolo_labels(p.blocks, p.page_dims), p.page_dims)
-    n = F.when(F.col("content") == "", 0).otherwise(F.size(F.split("content", "\n")))
-    ids = E.yolo_labels(p.blocks, p.page_dims).groupBy("page_id").agg(F.min("parent_id").alias("lowest"), F.max("parent_id").alias("highest"))
-    return files.select("page_id", n.cast("long").alias("n")).join(ids, "page_id")
+    return E.label_files(E.yolo_labels(p.blocks, p.page_dims), p.page_dims).select("page_id", "content")
 
 
 @query("""with a as (select t.page_id, t.title_id, arg_min(b.block_id, row((b.x1-b.x0)*(b.y1-b.y0), b.block_id)) as block_id from titles t join blocks b
@@ -274,12 +271,9 @@ def area_order(p: Pages) -> DataFrame:
 
 
 @query(f"""with s as ({SIZED}), m as (select page_id, count(*) as total_contours, count(*) filter (where not (area > 3000 and area < most)) as noise_dropped, count(*) filter (where area > 3000 and area < most) as parent_count from s group by page_id)
-select page_id, coalesce(total_contours, 0) as total_contours, coalesce(noise_dropped, 0) as noise_dropped, coalesce(parent_count, 0) as parent_count, cast(coalesce(floor(noise_dropped * 1000.0 / nullif(total_contours, 0) + 0.5), 0) as bigint) as permille from page_dims left join m using (page_id)""")
+select page_id, coalesce(total_contours, 0) as total_contours, coalesce(noise_dropped, 0) as noise_dropped, coalesce(parent_count, 0) as parent_count, coalesce(round(noise_dropped / nullif(total_contours, 0) * 100, 1), 0.0) as noise_drop_rate from page_dims left join m using (page_id)""")
 def page_metrics(p: Pages) -> DataFrame:
-    """The rate is compared in whole tenths of a percent, rounded half up in integers."""
-    m = B.page_metrics(p.components, p.page_dims)
-    tenths = F.when(F.col("total_contours") > 0, F.floor(F.col("noise_dropped") * 1000 / F.col("total_contours") + 0.5)).otherwise(0)
-    return m.select("page_id", "total_contours", "noise_dropped", "parent_count", tenths.cast("long").alias("permille"))
+    return B.page_metrics(p.components, p.page_dims).select("page_id", "total_contours", "noise_dropped", "parent_count", "noise_drop_rate")
 
 
 # Folds
@@ -359,6 +353,16 @@ def title_reclaim(p: Pages) -> DataFrame:
     return J.title_reclaim(p.blocks, valid(p))
 
 
+@query(f"""with {OWN}, g as (select b.page_id, b.block_id, max(bottom_px/4)+1 as low, min(left_pt)-10 as lo, max(right_pt)+10 as hi from blocks b anti join own on own.page_id = b.page_id and own.block_id = b.block_id
+ join v on v.page_id = b.page_id and {BELOW} group by all)
+select b.page_id, cast(b.block_id as bigint) as block_id, least(x0, coalesce(lo, x0)) as x0, y0, greatest(x1, coalesce(hi, x1)) as x1, greatest(y1, coalesce(low, y1)) as y1, coalesce(low > y1, false) as grew
+from blocks b anti join own on own.page_id = b.page_id and own.block_id = b.block_id left join g on g.page_id = b.page_id and g.block_id = b.block_id""")
+def second_reclaim(p: Pages) -> DataFrame:
+    """Blocks that hold no title look below once more, and widen whether they grow or not."""
+    titled = J.internal(p.blocks, valid(p)).select("page_id", "block_id").distinct()
+    return J.reclaimed(p.blocks.join(titled, ["page_id", "block_id"], "left_anti"), valid(p), widen_always=True)
+
+
 LOW = VALID.replace("cy_px, bottom_px", "cy_px + 2000 as cy_px, bottom_px + 2000 as bottom_px")
 
 
@@ -538,11 +542,18 @@ def dilate(p: Pages) -> DataFrame:
 from ({joined_runs("ink_runs", 100)}) join page_dims using (page_id) where x_end - x_start >= floor(page_w*4*5/100)""")
 def long_lines(p: Pages) -> DataFrame:
     """At 5 percent of the page's width, as no run of the sample is longer."""
-    from planforge.config import Config
-
     return I.long_lines(p.ink_runs, p.page_dims, Config(line_percent=5))
 
 
+COLUMNS = joined_runs("(select distinct page_id, cast(unnest(range(x_start, x_end)) as int) as y, y as x_start, y + 1 as x_end from ink_runs)", 100)
+
+
+@query(f"select page_id, cast(y as bigint) as x, cast(x_start as bigint) as y_start, cast(x_end as bigint) as y_end from ({COLUMNS}) join page_dims using (page_id) where x_end - x_start >= floor(page_h*4*10/100)")
+def long_columns(p: Pages) -> DataFrame:
+    """At 10 percent of the page's height, as no column of the sample is longer."""
+    return I.long_columns(p.ink_runs, p.page_dims, Config(line_percent=10))
+
+
 @query()
 def components(p: Pages) -> DataFrame:
     return I.components(I.dilate(p.ink_runs, p.page_dims))

@@ -21,8 +21,11 @@ def register(name: str, schema: str, function: Callable[[bytes, int], list[tuple
     PLUGINS[name] = (function, schema)
 
 
-def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", any_case: bool = True) -> DataFrame:
-    """(doc_id, path, content) of the files of a folder, or of one file; the id is the base name without its ending."""
+def documents(spark: SparkSession, path: str, pattern: str = "*.pdf", any_case: bool = False) -> DataFrame:
+    """(doc_id, path, content) of the files of a folder, or of one file; the id is the base name without its ending.
+
+    The pattern tells cases apart unless `any_case` is set.
+    """
     glob = "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in pattern) if any_case else pattern
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return raw.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("doc_id"), "path", "content")

@@ -59,3 +59,11 @@ def test_normalize_struct(spark):
     df = spark.sql("select named_struct('a', 'B1 (3x4)', 'b', array('6#11'), 'c', array(array('6#11')), 'd', named_struct('e', 'EF'), 'f', 2) as r")
     got = df.select(X.normalize_struct(F.col("r"), df.schema["r"].dataType).alias("r")).first().r.asDict(True)
     assert got == {"a": "B1", "b": ["6-#11"], "c": [["6#11"]], "d": {"e": "E.F."}, "f": 2}
+
+
+def test_fixed_rounds_the_binary_value(spark):
+    from pyspark.sql import functions as F
+
+    values = [0.0, 1.0, 0.7278125, 0.0003125, 0.1234565, 0.9999995, 0.5, 1 / 3, 0.25, 2.5e-7, 5e-7, 1e-9, 1234.5678125, *(k / 9600 for k in range(1, 2000, 7)), *(k / 128 for k in range(128))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.fixed(F.col("v"), 6).alias("six"), X.fixed(F.col("v"), 1).alias("one")).collect()
+    assert [(r.six, r.one) for r in got] == [(f"{v:.6f}", f"{v:.1f}") for v in values]
