@@ -9,7 +9,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, name):
     db = duckdb.connect()
-    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "benchmark"):
+        db.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = queries.queries()[name](spark, SF)
     rel = db.sql(queries.oracle_sql()[name])
     columns = sorted(df.columns)
