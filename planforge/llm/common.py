@@ -45,21 +45,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Rows of an Arrow batch while a table is written, as a row here is a whole text.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch while a table is written, as a row here is a whole text; a longer row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 @contextlib.contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
-    """At most ARROW_ROWS rows in a batch for the actions inside; the session's own setting comes back after them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if not 0 < int(before) <= ARROW_ROWS:
-        spark.conf.set(name, str(ARROW_ROWS))
+    """Arrow batches of at most ARROW_ROWS rows and about ARROW_BYTES for the actions inside; the session's own settings come back after them."""
+    prefix = "spark.sql.execution.arrow."
+    before = {prefix + name: (spark.conf.get(prefix + name), most) for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES))}
+    for name, (own, most) in before.items():
+        plain = own.removesuffix("b")
+        if not plain.isdigit() or not 0 < int(plain) <= most:
+            spark.conf.set(name, str(most))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, (own, _) in before.items():
+            spark.conf.set(name, own)
 
 
 def saved(df: DataFrame, name: str, release: bool = True) -> DataFrame:

@@ -279,10 +279,15 @@ def _cut(docs: DataFrame, spec: Spec) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
-            keys = list(zip(batch.column("id").to_pylist(), raw(batch.column("text")), strict=True))
-            fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else before)]  # repeated rows are neighbours
-            before = keys[-1] if keys else before
-            for part in slices(batch.take(pa.array(fresh, pa.int64())), "text"):
+            for part in slices(batch, "text"):
+                keys = list(zip(part.column("id").to_pylist(), part.column("row").to_pylist(), raw(part.column("text")), strict=True))
+                fresh = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else before)]  # repeated rows are neighbours
+                before = keys[-1]
+                del keys
+                if not fresh:
+                    continue
+                if len(fresh) < part.num_rows:
+                    part = part.take(pa.array(fresh, pa.int64()))
                 edge, entries = flat(part.column("parts"))
                 asked = entries.slice(edge[0], edge[-1] - edge[0])
                 n = asked.field("n").to_numpy()
