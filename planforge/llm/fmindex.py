@@ -11,17 +11,20 @@ import numpy as np
 SAMPLED = 8
 
 
-def bounded_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes by their first `depth` symbols at least, by doubling of the ranked prefix."""
-    rank = text.astype(np.int64)
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The order of all suffixes, by doubling of the ranked prefix. Each separator 0 is a symbol of its own, smaller than all others, so no two suffixes tie."""
+    apart = text == 0
+    rank = np.where(apart, np.cumsum(apart) - 1, text + int(apart.sum())).astype(np.int64)
     done = 1
     while True:
-        if done >= depth:
-            return np.argsort(rank, kind="stable")
         after = np.full(len(rank), -1, np.int64)
         after[: max(0, len(rank) - done)] = rank[done:]
         rank = np.unique(rank * (len(rank) + int(rank.max()) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
         done *= 2
+        if int(rank.max()) + 1 == len(rank):
+            order = np.empty(len(rank), np.int64)
+            order[rank] = np.arange(len(rank))
+            return order
 
 
 class Bits:
@@ -44,12 +47,12 @@ class Bits:
 
 
 class FMIndex:
-    """Counts and finds patterns of up to `depth` symbols in a text of symbols from 1 on; its last symbol is a separator 0."""
+    """Counts and finds patterns in a text of symbols from 1 on; its last symbol is a separator 0. `depth`, the length of the longest, isn't needed any more."""
 
-    def __init__(self, text: np.ndarray, depth: int):
-        # Suffixes are sorted a little deeper than patterns reach: a walk of fewer than SAMPLED steps then ends, for
-        # the rows of a pattern together, at all of its occurrences, though two of them may change places.
-        order = bounded_suffix_array(text, depth + SAMPLED)
+    def __init__(self, text: np.ndarray, depth: int | None = None):
+        # The order is whole: were suffixes to tie, a step to the front could swap two of them of which one alone
+        # is at a place that was kept, and one occurrence would be found twice, the other never.
+        order = suffix_array(text)
         self.size = len(order)
         bwt = text[order - 1]  # the text is a cycle
         marked = (order % SAMPLED == 0) | (bwt == 0)
@@ -91,7 +94,7 @@ class FMIndex:
         return at - self.begin[symbols] + self.smaller[symbols]
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        """The places in the text of a pattern's rows, as a set: steps to the front until a place that was kept."""
+        """The place in the text of each row: steps to the front until a place that was kept."""
         out = np.empty(len(rows), np.int64)
         left, at = np.arange(len(rows)), rows
         for steps in range(SAMPLED):  # never across a separator

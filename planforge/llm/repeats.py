@@ -53,6 +53,7 @@ class Spec(NamedTuple):
     unit: str  # "words" or "bytes"
     window: int
     gram: int
+    key: int = 0  # of the words' hashes; random in each run, so that no text is made to collide
 
 
 def eight(data: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ def eight(data: np.ndarray) -> np.ndarray:
 def units_of(blocks: list[bytes], spec: Spec) -> Units:
     if spec.unit == "words":
         w = words_of(blocks)
-        return Units(w.data, w.start, w.end, w.first, windows(w.hashes(), spec.gram))
+        return Units(w.data, w.start, w.end, w.first, windows(w.hashes(spec.key), spec.gram))
     data = np.frombuffer(b"".join(blocks), np.uint8)
     at = np.arange(len(data))
     first = np.cumsum([0, *map(len, blocks)])

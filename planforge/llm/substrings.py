@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ def matching(window: int) -> Method:
         text = np.zeros(len(symbols) + len(counts), np.int64)
         text[np.arange(len(symbols)) + np.repeat(np.arange(len(counts)), counts)] = symbols
         begin = np.cumsum(counts + 1) - counts - 1
-        index = FMIndex(text, int(counts.max()))
+        index = FMIndex(text)
         free = counts - window + 1
         piece = np.repeat(np.arange(len(counts)), free)
         step = np.arange(int(free.sum())) - np.repeat(np.cumsum(free) - free, free)
@@ -64,7 +66,7 @@ def removed(docs: DataFrame, window: int, key: str = "doc_id", text: str = "text
         left += words[at:]
         return b" ".join(left).decode(), len(words) - len(left)
 
-    return without(docs, key, text, Spec("words", window, min(6, max(1, window // 2))), matching(window), finish, "string", **kw)
+    return without(docs, key, text, Spec("words", window, min(6, max(1, window // 2)), secrets.randbits(64)), matching(window), finish, "string", **kw)
 
 
 def op3_substrings(spark, sf_dir: str) -> DataFrame:

@@ -36,14 +36,15 @@ class Words(NamedTuple):
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hashes of the words; equal words have equal hashes in any process."""
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """64-bit hashes of the words; equal words have equal hashes in any process that uses the same key."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         size = self.end - self.start
         begin = np.cumsum(size) - size
         place = np.arange(int(size.sum())) - np.repeat(begin, size)
-        power = np.cumprod(np.full(int(size.max()), ODD, np.uint64))
+        # Mixed with the key: a plain polynomial modulo 2^64 is the same for two words of the Thue-Morse sequence, whatever the base.
+        power = mixed(np.cumprod(np.full(int(size.max()), ODD, np.uint64)) ^ np.uint64(key))
         at = place + np.repeat(self.start, size)
         values = (self.data[at].astype(np.uint64) + np.uint64(1)) * power[place]
         return mixed(np.add.reduceat(values, begin) + size.astype(np.uint64))

@@ -185,3 +185,51 @@ def test_multikey_quicksort():
             members, begin = multikey_quicksort(data, at, length, group)
             got = sorted(sorted(g.tolist()) for g in np.split(members, begin[1:]) if len(g))
             assert got == sorted(v for v in want.values() if len(v) > 1)
+
+
+def test_words_of_the_thue_morse_sequence(spark, tmp_path):
+    """Words that hash alike by any polynomial modulo 2^64: each of them meets its own copies, by the registered query."""
+    import hashlib
+
+    from planforge.llm import queries
+
+    a, b = ("".join(x[k.bit_count() % 2] for k in range(2048)) for x in ("ab", "ba"))
+    tail = " ".join(f"t{k}" for k in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, f"{b} {tail}"), (4, f"{a} {tail}"), (5, f"{tail} {b}"), (6, f"{tail} {a}"), (7, f"{tail} {a}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.queries()["op3_substrings"](spark, str(tmp_path)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    want = [(i, len(u), sum(g), hashlib.sha256(b" ".join(w for w, x in zip(u, g, strict=True) if not x)).hexdigest()) for i, u, g in brute(rows, 13, lambda t: t.encode().split())]
+    assert sorted(map(tuple, got)) == want
+    assert [w[2] for w in want] == [0, 0, 13, 13, 0, 0, 13]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_the_index_finds_every_occurrence(seed):
+    """Pieces that are alike for long, one after the other: every row of a pattern has its own place, and each window its smallest id."""
+    import numpy as np
+
+    from planforge.llm.fmindex import FMIndex
+    from planforge.llm.repeats import Shard
+
+    r = random.Random(seed)
+    pieces = []
+    for _ in range(36):
+        n = r.randrange(13, 21)
+        piece = [b"a"] * n
+        if r.random() < 0.3:
+            piece[r.randrange(n)] = b"b"
+        pieces.append(piece)
+    ids = np.array([r.randrange(100) for _ in pieces])
+    got = substrings.matching(13)(Shard(None, pieces, np.array([len(p) for p in pieces]), ids, np.zeros(len(pieces), np.int64), None))
+    seen = {}
+    for p, i in zip(pieces, ids.tolist(), strict=True):
+        for k in range(len(p) - 12):
+            seen.setdefault(tuple(p[k : k + 13]), []).append(i)
+    assert got.tolist() == [min(seen[tuple(p[k : k + 13])]) for p in pieces for k in range(len(p) - 12)]
+    text = np.array([x for p in pieces for x in [*(1 + (w == b"b") for w in p), 0]])
+    index = FMIndex(text, 20)
+    for length in (13, 16, 20):
+        lo, hi = np.zeros(1, np.int64), np.array([len(text)])
+        for _ in range(length):
+            lo, hi = index.extend(np.array([1]), lo, hi)
+        assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == [k for k in range(len(text) - length + 1) if (text[k : k + length] == 1).all()]
