@@ -46,3 +46,23 @@ def test_pipeline_blocks_hold_their_titles(spark):
             assert r.y0 - 5 <= y <= r.y1 + 10
             assert (r.page_id, t) not in seen
             seen.add((r.page_id, t))
+
+
+def test_pipeline_blocks_by_groups_of_pages(spark, monkeypatch, tmp_path):
+    """Groups of pages give the rows of all pages together; of each only the result stays on disk, and the session keeps its settings."""
+    context = spark.sparkContext
+    names = ("spark.sql.adaptive.enabled", "spark.sql.requireAllClusterKeysForCoPartition")
+    before = context.getCheckpointDir(), [spark.conf.get(n) for n in names]
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    got = []
+    try:
+        for parts in (1, 2):
+            context.setCheckpointDir(f"{tmp_path}/{parts}")
+            monkeypatch.setattr(catalog, "PART_ROWS", -(-rows // parts), raising=False)
+            got.append(sorted(map(tuple, catalog.queries()["pipeline_blocks"](spark, SF).collect())))
+            assert len(list((tmp_path / str(parts)).glob("*/rdd-*"))) == parts
+    finally:
+        if before[0]:
+            context.setCheckpointDir(before[0].removeprefix("file:").rpartition("/")[0])
+    assert got[0] == got[1] != []
+    assert [spark.conf.get(n) for n in names] == before[1]
